@@ -1,0 +1,26 @@
+"""Joins that stay balanced when one key owns a large share of the fact rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+HOT_ROWS = 5_000_000
+
+
+def inner_join_hot_keys(fact: DataFrame, users: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of a fact with a one-row-per-key table.
+
+    Keys with more than ``hot_rows`` fact rows are joined by broadcast, so their rows stay where they
+    were read. There can be at most ``fact rows / hot_rows`` such keys, which bounds the broadcast.
+    All other keys take the ordinary join.
+    """
+    hot = (
+        fact.groupBy(key)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") > hot_rows)
+        .select(key)
+    )
+    few_users = users.join(F.broadcast(hot), key, "left_semi")
+    usual = fact.join(F.broadcast(hot), key, "left_anti").join(users, key)
+    heavy = fact.join(F.broadcast(few_users), key)
+    return usual.unionByName(heavy.select(*usual.columns))
