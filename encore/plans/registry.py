@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from ..oracle import sources_sql, trips_sql
+from ..oracle import grain_sql, sources_sql, trips_sql
 from ..oracle.build import SqlLibrary
-from . import results_trips  # noqa: F401
+from . import results_trips, results_grain  # noqa: F401,I001
 from .catalog import CATALOG, callables
 
-LIBRARY = SqlLibrary(sources_sql, trips_sql)
+LIBRARY = SqlLibrary(sources_sql, trips_sql, grain_sql)
 
 
 def queries():
     return callables()
 
 
-def _rounded(sql: str, places: int = 6) -> str:
-    return f"SELECT COLUMNS(c -> true) FROM ({sql})"
-
-
 def oracle_sql() -> dict[str, str]:
     return {name: LIBRARY.statement(entry.sql) for name, entry in CATALOG.items() if entry.sql is not None}

@@ -6,9 +6,9 @@ import uuid
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import enrich, trips, wide
+from ..operators import enrich, grain, lookups, targets, trips, wide
 from ..session import shared_dir
 
 
@@ -137,3 +137,37 @@ class Stages:
     @cached_property
     def wide(self) -> DataFrame:
         return self.store.keep("wide", lambda: wide.final_wide(self.detail, self.wide_parts()))
+
+    @property
+    def monthly_rows(self) -> DataFrame:
+        """The wide table as monthly exports: each row carries the year and month of its file."""
+        return self.wide.select(
+            *grain.EXPORT_COLUMNS,
+            F.year("reservation_date").alias("archivo_anio"),
+            F.month("reservation_date").alias("archivo_mes"),
+        )
+
+    @cached_property
+    def tx_level(self) -> DataFrame:
+        return self.store.keep("tx_level", lambda: grain.tx_level(self.wide))
+
+    @cached_property
+    def user_level(self) -> DataFrame:
+        return self.store.keep("user_level", lambda: grain.user_level(self.wide))
+
+    def build_modeling_view(self) -> DataFrame:
+        return targets.modeling_view(self.user_level, grain.trip1_agg(self.tx_level), **self.src.cohort_dates)
+
+    @cached_property
+    def modeling_view(self) -> DataFrame:
+        return self.store.keep("modeling_view", self.build_modeling_view)
+
+    @cached_property
+    def user_grain(self) -> DataFrame:
+        return self.store.keep("user_grain", lambda: grain.user_grain_latest_file(self.monthly_rows))
+
+    @cached_property
+    def knn_users(self) -> DataFrame:
+        return self.store.keep(
+            "knn_users", lambda: lookups.with_destination_types(lookups.impute_and_log(self.user_grain))
+        )

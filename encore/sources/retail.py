@@ -55,6 +55,8 @@ class RetailSources:
 
     brand = BRAND
     company = BRAND
+    # First cohort kept, and the first days with usable margin and media-path data, on the orders' calendar.
+    cohort_dates = {"min_date": "1995-03-01", "margin_since": "1996-01-01", "media_since": "1997-01-01"}
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark

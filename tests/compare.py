@@ -83,7 +83,7 @@ def main() -> int:
     from encore.session import build_session
 
     folder = f"/root/testdata/sf{args.sf}"
-    spark = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
+    spark = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = database(folder)
     queries, oracle = entry.queries(), entry.oracle_sql()
