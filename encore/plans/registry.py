@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from ..oracle import cohorts_sql, grain_sql, sources_sql, trips_sql
+from ..oracle import cohorts_sql, grain_sql, models_sql, sources_sql, trips_sql
 from ..oracle.build import SqlLibrary
-from . import results_trips, results_grain, results_cohorts  # noqa: F401,I001
+from . import results_trips, results_grain, results_cohorts, results_models  # noqa: F401,I001
 from .catalog import CATALOG, callables
 
-LIBRARY = SqlLibrary(sources_sql, trips_sql, grain_sql, cohorts_sql)
+LIBRARY = SqlLibrary(sources_sql, trips_sql, grain_sql, cohorts_sql, models_sql)
 
 
 def queries():

@@ -8,7 +8,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import enrich, grain, lookups, targets, trips, wide
+from ..operators import actions, enrich, grain, lookups, neighbours, propensity, targets, trips, wide
+from ..oracle import models_sql as settings
 from ..session import shared_dir
 
 
@@ -171,3 +172,54 @@ class Stages:
         return self.store.keep(
             "knn_users", lambda: lookups.with_destination_types(lookups.impute_and_log(self.user_grain))
         )
+
+    # Modelling on the sample data: thresholds and coefficients come from the check settings.
+
+    @cached_property
+    def model_rows(self) -> DataFrame:
+        return self.store.keep(
+            "model_rows",
+            lambda: propensity.collapse_rare(propensity.model_features(self.modeling_view), min_count=settings.RARE),
+        )
+
+    @property
+    def model_split(self) -> tuple[DataFrame, DataFrame]:
+        return propensity.temporal_split(self.model_rows, settings.CUTOFF)
+
+    @cached_property
+    def booster(self) -> propensity.Booster:
+        return propensity.boosted_trees(self.model_split[0], max_depth=4, max_iter=10)
+
+    @property
+    def scored(self) -> DataFrame:
+        score = propensity.logistic_score(settings.COEFFICIENTS, settings.INTERCEPT)
+        return propensity.model_features(self.modeling_view).withColumn("score", score)
+
+    @property
+    def rounded_scores(self) -> DataFrame:
+        return self.scored.select("social_id", "label", F.bround("score", 4).alias("score"))
+
+    @property
+    def audience_scored(self) -> DataFrame:
+        rows = propensity.feature_columns(actions.load_audience(self.modeling_view))
+        return rows.withColumn("score", propensity.logistic_score(settings.COEFFICIENTS, settings.INTERCEPT))
+
+    @property
+    def knn_groups(self) -> tuple[DataFrame, DataFrame]:
+        return neighbours.split_reference_target(self.knn_users)
+
+    def build_neighbours(self) -> DataFrame:
+        reference, target = self.knn_groups
+        return neighbours.nearest_users(target, reference)
+
+    @cached_property
+    def neighbours(self) -> DataFrame:
+        return self.store.keep("neighbours", self.build_neighbours)
+
+    def build_knn_table(self) -> DataFrame:
+        reference, target = self.knn_groups
+        return neighbours.knn_table(target, neighbours.recommend(self.neighbours, reference))
+
+    @cached_property
+    def knn_table(self) -> DataFrame:
+        return self.store.keep("knn_table", self.build_knn_table)
