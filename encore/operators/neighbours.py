@@ -23,6 +23,7 @@ from ..functions.aggregates import as_col
 from ..functions.buckets import AGE, LEAD_TIME, NO_DATA, TRIP_LENGTH
 from ..functions.ranking import exact_quantiles, seeded_hash
 from ..functions.text import real
+from ..session import written
 from .trips import MORE_TRIPS, ONE_TRIP
 
 NEIGHBOURS = 5
@@ -181,23 +182,34 @@ def standardise_on_reference(reference: DataFrame, encoding: Encoding = Encoding
 SMALL_LEVELS = 100_000
 
 
-def scaled_points(points: DataFrame, reference: DataFrame, encoding: Encoding) -> DataFrame:
-    """(id, v): scaled axes, then a code per category, then a weight per category, in one array of doubles.
+@dataclass(frozen=True)
+class Scaling:
+    """Axis statistics and coded category levels of a reference group, fitted once."""
 
-    The level table is broadcast only if it has been counted as small; otherwise the levels are joined by shuffle.
-    """
+    encoding: Encoding
+    stats: Column
+    levels: DataFrame
+    small: bool
+
+
+def fit_scaling(reference: DataFrame, encoding: Encoding = Encoding()) -> Scaling:
+    """Statistics of encoded reference points. The level table is written and counted, so that it is broadcast
+    only when it is known to be small."""
     stats = axis_stats(reference, encoding.axes).select(F.struct(*encoding.axes)).scalar()
-    weights = level_weights(reference, encoding.nominals)
-    coded = weights.withColumn(
-        "codigo", F.row_number().over(Window.partitionBy("variable").orderBy("nivel")).cast("double")
-    )
-    small = weights.limit(SMALL_LEVELS + 1).count() <= SMALL_LEVELS
-    rows = points.withColumn("_stats", stats)
+    code = F.row_number().over(Window.partitionBy("variable").orderBy("nivel")).cast("double")
+    levels = written(level_weights(reference, encoding.nominals).withColumn("codigo", code), "knn-levels")
+    return Scaling(encoding, stats, levels, levels.count() <= SMALL_LEVELS)
+
+
+def scaled_points(points: DataFrame, scaling: Scaling) -> DataFrame:
+    """(id, v): scaled axes, then a code per category, then a weight per category, in one array of doubles."""
+    encoding = scaling.encoding
+    rows = points.withColumn("_stats", scaling.stats)
     for c in encoding.nominals:
-        table = coded.filter(F.col("variable") == c).select(
+        table = scaling.levels.filter(F.col("variable") == c).select(
             F.col("nivel").alias(c), F.col("codigo").alias(f"{c}_code"), F.col("peso").alias(f"{c}_w")
         )
-        rows = rows.join(F.broadcast(table) if small else table, c, "left")
+        rows = rows.join(F.broadcast(table) if scaling.small else table, c, "left")
     z = [(F.col(c) - F.col("_stats")[c]["mean"]) / F.col("_stats")[c]["scale"] for c in encoding.axes]
     # A null level is equal to a null level; a level the reference lacks differs from every reference level.
     code = [
@@ -256,7 +268,10 @@ def _nearest(targets: pd.DataFrame, refs: pd.DataFrame, k: int, axes: int, categ
                     {"id": q_ids[start + near["row"].to_numpy()], "vecino": r_ids[near["col"].to_numpy()], "distancia": near["d"].to_numpy()}
                 )
             )
-    return pd.concat(found) if found else pd.DataFrame({"id": [], "vecino": [], "distancia": []})
+    if found:
+        return pd.concat(found)
+    none = np.array([], dtype=object)
+    return pd.DataFrame({"id": pd.Series(none, dtype=object), "vecino": pd.Series(none, dtype=object), "distancia": np.array([])})
 
 
 @dataclass(frozen=True)
@@ -292,11 +307,13 @@ def knn_join(
     spark = targets.sparkSession
     same_point = Window.partitionBy("v").orderBy("id")
     references = references.withColumn("_copy", F.row_number().over(same_point)).filter(F.col("_copy") <= k).drop("_copy")
+    references = written(references, "knn-references")
     chosen = references.orderBy(seeded_hash("id", 7), "id").limit(blocks.pivots).collect()
     if not chosen:
         return targets.select("id").limit(0).selectExpr("id", "id AS vecino", "0D AS distancia", "1 AS puesto")
     pivots = np.array([row["v"] for row in chosen])
-    refs, asks = _assign(references, pivots, axes, categories), _assign(targets, pivots, axes, categories)
+    refs = written(_assign(references, pivots, axes, categories), "knn-reference-cells")
+    asks = written(_assign(targets, pivots, axes, categories), "knn-target-cells")
 
     # Per-cell figures: at most pivots x k rows reach the driver.
     close = Window.partitionBy("cell").orderBy("away")
@@ -350,9 +367,10 @@ def nearest_users(
 ) -> DataFrame:
     """Encode, scale on the reference group and join."""
     ref_points, ask_points = encode_points(reference, encoding), encode_points(target, encoding)
+    scaling = fit_scaling(ref_points, encoding)
     return knn_join(
-        scaled_points(ask_points, ref_points, encoding),
-        scaled_points(ref_points, ref_points, encoding),
+        scaled_points(ask_points, scaling),
+        scaled_points(ref_points, scaling),
         len(encoding.axes),
         len(encoding.nominals),
         k,

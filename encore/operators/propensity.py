@@ -376,8 +376,8 @@ def permutation_importance(
     reference = grouped_auc(base, ["feature"]).select("roc_auc").scalar()
     return (
         worse.groupBy("feature")
-        .agg(F.avg(reference - F.col("roc_auc")).alias("fall"))
-        .select("feature", F.greatest(F.lit(0.0), "fall").alias("importance"))
+        .agg(F.avg("roc_auc").alias("shuffled"))
+        .select("feature", F.greatest(F.lit(0.0), reference - F.col("shuffled")).alias("importance"))
         .orderBy(F.desc("importance"), "feature")
     )
 

@@ -172,8 +172,6 @@ def chi_square_tail(x: float, df: int) -> float:
 
 def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
     values = sorted(pdf["valor"].unique())
-    if len(values) < 2:
-        return pd.DataFrame({"grupo": [], "grados": [], "chi2": [], "p_value": []})
     cov = pdf.pivot(index="valor", columns="valor_j", values="covarianza").loc[values, values].to_numpy()
     own = pdf[pdf["valor"] == pdf["valor_j"]].set_index("valor").loc[values]
     z = (own["observado"] - own["esperado"]).to_numpy(dtype=float)[:-1]
@@ -188,8 +186,13 @@ def multivariate_logrank(
     durations: DataFrame, groups: Mapping[str, tuple[str, int]] = GROUPS, min_n: int = MIN_GROUP
 ) -> DataFrame:
     """Chi-square and p-value of each comparison; only the k x k terms of a comparison reach its solve."""
+    terms = logrank_terms(durations, groups, min_n)
+    compared = terms.withColumn("_least", F.min("valor").over(Window.partitionBy("grupo"))).withColumn(
+        "_most", F.max("valor").over(Window.partitionBy("grupo"))
+    )
     return (
-        logrank_terms(durations, groups, min_n)
+        compared.filter(F.col("_least") != F.col("_most"))
+        .drop("_least", "_most")
         .groupBy("grupo")
         .applyInPandas(_solve, "grupo string, grados int, chi2 double, p_value double")
     )

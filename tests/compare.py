@@ -24,6 +24,9 @@ TYPES = {
 }
 
 
+SQL_SECONDS = 0.0
+
+
 def database(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for table in TABLES:
@@ -45,10 +48,13 @@ def _cell(value):
 
 def differences(spark_df, con, sql: str, types: bool = True) -> list[str]:
     names = sorted(spark_df.columns)
+    start = time.time()
     told = con.execute(sql)
     their = {d[0]: str(d[1]) for d in told.description}
     rows_b = told.fetchall()
     order_b = [d[0] for d in told.description]
+    global SQL_SECONDS
+    SQL_SECONDS = time.time() - start
     problems = []
     if names != sorted(order_b):
         return [f"columns differ: only spark {set(names) - set(order_b)}, only sql {set(order_b) - set(names)}"]
@@ -100,7 +106,7 @@ def main() -> int:
             found = [f"{type(error).__name__}: {str(error)[:1500]}"]
         bad += bool(found)
         mark = "FAIL" if found else ("ok" if name in oracle else "rows")
-        print(f"{mark:5} {name} {time.time() - start:.1f}s", flush=True)
+        print(f"{mark:5} {name} {time.time() - start:.1f}s (sql {SQL_SECONDS:.1f}s)", flush=True)
         for line in found:
             print("      ", line[:1800], flush=True)
     print(f"{bad} of {len(args.names or queries)} failed")
