@@ -294,13 +294,8 @@ def payment_methods(payments: DataFrame, instruments: DataFrame, targets: DataFr
     )
     base = (
         payments.filter("reservation_year_month IS NOT NULL AND transaction_code IS NOT NULL")
-        .select(
-            _code(),
-            "payment_method_id",
-            "payment_user_id",
-            "social_id",
-            F.coalesce("gross_bookings_usd", F.lit(0.0)).alias("paid"),
-        )
+        .groupBy(_code(), "payment_method_id", "payment_user_id", "social_id")
+        .agg(F.sum(F.coalesce("gross_bookings_usd", F.lit(0.0))).alias("paid"))
         .join(_distinct_codes(targets), "transaction_code", "left_semi")
         .join(known, ["payment_user_id", "social_id"], "left")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -102,37 +103,49 @@ class Stages:
         return enrich.passengers(self.src.products, self.detail)
 
     @cached_property
-    def transaction_sides(self) -> dict[str, DataFrame]:
-        """Side tables that two consumers need, written once."""
-        keep = self.store.keep
-        return {
-            "economics": keep("economics", lambda: self.economics),
-            "coupons": keep("coupons", lambda: self.coupons),
-            "cabins": keep("cabins", lambda: self.cabins),
-            "passengers": keep("passengers", lambda: self.passengers),
-        }
+    def economics_table(self) -> DataFrame:
+        return self.store.keep("economics", lambda: self.economics)
+
+    @cached_property
+    def coupons_table(self) -> DataFrame:
+        return self.store.keep("coupons", lambda: self.coupons)
+
+    @cached_property
+    def cabins_table(self) -> DataFrame:
+        return self.store.keep("cabins", lambda: self.cabins)
+
+    @cached_property
+    def passengers_table(self) -> DataFrame:
+        return self.store.keep("passengers", lambda: self.passengers)
+
+    def build_sides(self) -> None:
+        """Writes the side tables that do not depend on each other at the same time."""
+        names = ("payments", "app", "profile", "economics_table", "coupons_table", "cabins_table", "passengers_table")
+        _ = self.detail
+        with ThreadPoolExecutor(max_workers=len(names)) as pool:
+            list(pool.map(lambda name: getattr(self, name), names))
 
     def wide_parts(self) -> dict[str, DataFrame]:
-        sides = self.transaction_sides
+        self.build_sides()
         return {
             "purchase_lists": trips.purchase_lists_per_trip(self.detail),
             "products": trips.products_per_trip(self.detail),
-            "trip2": enrich.trip2_features(self.detail, sides["economics"], sides["coupons"], sides["cabins"]),
+            "trip2": enrich.trip2_features(self.detail, self.economics_table, self.coupons_table, self.cabins_table),
             "activity": trips.activity_between_trips(self.src.visits, self.users, self.src.company),
             "app": self.app,
             "profile": self.profile,
-            "travellers": enrich.traveller_type(self.detail, sides["passengers"]),
-            "cabins": sides["cabins"],
+            "travellers": enrich.traveller_type(self.detail, self.passengers_table),
+            "cabins": self.cabins_table,
             "media_path": enrich.media_path_totals(self.src.attribution, self.targets),
-            "coupons": sides["coupons"],
+            "coupons": self.coupons_table,
             "clicks": enrich.first_last_click(self.src.attribution, self.targets),
-            "economics": sides["economics"],
+            "economics": self.economics_table,
             "loyalty": enrich.loyalty_per_transaction(
                 enrich.loyalty_redemption(self.src.redemptions, self.targets)
             ),
             "service": enrich.customer_service(self.src.contacts, self.targets),
             "payments": self.payments,
-            "passengers": sides["passengers"],
+            "passengers": self.passengers_table,
         }
 
     @cached_property

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BRAND = "House"
 EVENT_STRETCH = 80
@@ -131,8 +131,14 @@ class RetailSources:
 
     @cached_property
     def trips(self) -> DataFrame:
-        per_order = Window.partitionBy("l_orderkey")
-        lines = self._placed_lines.join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+        spans = (
+            self.table("lineitem")
+            .groupBy(F.col("l_orderkey").alias("span_orderkey"))
+            .agg(F.min("l_shipdate").alias("trip_checkin"), F.max("l_shipdate").alias("trip_checkout"))
+        )
+        lines = self._placed_lines.join(self.table("part"), F.col("l_partkey") == F.col("p_partkey")).join(
+            spans, F.col("l_orderkey") == F.col("span_orderkey")
+        )
         product = _named(PRODUCTS, F.col("p_type"))
         return lines.select(
             "social_id",
@@ -149,8 +155,8 @@ class RetailSources:
             F.col("buyer_nation").alias("country_code"),
             F.when(product == "Vuelos", _pick(PLACES, F.col("c_nationkey"))).alias("first_origin_id"),
             F.when(F.col("l_tax") < 0.08, _pick(PLACES, F.col("s_nationkey"))).alias("first_destination_id"),
-            F.min("l_shipdate").over(per_order).alias("trip_checkin"),
-            F.max("l_shipdate").over(per_order).alias("trip_checkout"),
+            "trip_checkin",
+            "trip_checkout",
         )
 
     @cached_property
