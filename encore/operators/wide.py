@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.buckets import lead_time_bucket, trip_length_bucket
 from .enrich import MEASURES, MEDIA_COLUMNS, PAYMENT_COLUMNS, PAYMENT_FLAGS
 
-USER_PARTS = ("purchase_lists", "products", "trip2", "activity", "app", "profile")
+USER_PARTS = ("purchase_lists", "products", "trip2", "activity", "app")
 TRANSACTION_PARTS = (
     "cabins", "media_path", "coupons", "clicks", "economics", "loyalty", "service", "payments",
 )
+TRAVELLER_COLUMNS = (
+    "adultos_viaje", "ninos_viaje", "infantes_viaje", "cantidad_pasajeros_viaje", "tipo_viajero",
+)
 APP_COUNTERS = (
     "flg_app_90d_antes_trip1", "visitas_app_90d_antes_trip1", "flg_app_entre_trips",
     "visitas_app_entre_trips", "flg_app_90d_post_trip1", "visitas_app_90d_post_trip1",
@@ -31,22 +34,46 @@ PROFILE_COLUMNS = (
 )
 
 
+def _by_entry(rows: DataFrame, key: str, entry: str, value: Column, name: str) -> DataFrame:
+    """One row per key with a map entry -> value; entries per key are few (two trips, the product types)."""
+    return rows.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(entry, value))).alias(name))
+
+
+def user_side(parts: Mapping[str, DataFrame]) -> DataFrame:
+    """All user tables as one row per user."""
+    travellers = _by_entry(parts["travellers"], "social_id", "trip_id", F.struct(*TRAVELLER_COLUMNS), "_trips")
+    rows = parts["profile"]
+    for side in (*[parts[name] for name in USER_PARTS], travellers):
+        rows = rows.join(side, "social_id", "left")
+    return rows
+
+
+def transaction_side(detail: DataFrame, parts: Mapping[str, DataFrame]) -> DataFrame:
+    """All transaction tables as one row per transaction."""
+    people = parts["passengers"].filter("cantidad_pasajeros IS NOT NULL")
+    passengers = _by_entry(people, "transaction_code", "product_type", F.col("cantidad_pasajeros"), "_passengers")
+    rows = detail.filter("transaction_code IS NOT NULL").select("transaction_code").distinct()
+    for side in (*[parts[name] for name in TRANSACTION_PARTS], passengers):
+        rows = rows.join(side, "transaction_code", "left")
+    return rows
+
+
 def final_wide(detail: DataFrame, parts: Mapping[str, DataFrame]) -> DataFrame:
     """Every detail row with its user, trip and transaction side tables.
 
-    Joins are grouped by key: all user tables first, then the trip table, then all transaction tables, so
-    the detail rows move once per key.
+    Side tables are put together first, one row per user and one per transaction, so no key can weigh more than
+    another there. The detail rows then move twice, each time into a single join whose heavy keys Spark can split.
     """
-    rows = detail
-    for name in USER_PARTS:
-        rows = rows.join(parts[name], "social_id", "left")
-    rows = rows.join(parts["travellers"], ["social_id", "trip_id"], "left")
-    for name in TRANSACTION_PARTS:
-        rows = rows.join(parts[name], "transaction_code", "left")
-    rows = rows.join(
-        parts["passengers"].select("transaction_code", "product_type", "cantidad_pasajeros"),
-        ["transaction_code", "product_type"],
-        "left",
+    rows = (
+        detail.join(user_side(parts), "social_id", "left")
+        .join(transaction_side(detail, parts), "transaction_code", "left")
+        .withColumn("_trip", F.try_element_at("_trips", F.col("trip_id")))
+        .withColumns(
+            {
+                "cantidad_pasajeros": F.try_element_at("_passengers", F.col("product_type")),
+                **{c: F.col("_trip")[c] for c in TRAVELLER_COLUMNS},
+            }
+        )
     )
     zero = lambda *names: [F.coalesce(n, F.lit(0)).alias(n) for n in names]
     return rows.select(
@@ -61,8 +88,7 @@ def final_wide(detail: DataFrame, parts: Mapping[str, DataFrame]) -> DataFrame:
         lead_time_bucket("dias_anticipacion_compra_checkin").alias("bucket_anticipacion_compra"),
         trip_length_bucket("duracion_viaje_dias").alias("bucket_duracion_viaje"),
         F.datediff("fecha_segundo_trip", "fecha_primer_trip").alias("dias_entre_trip_1_y_2"),
-        "cantidad_pasajeros", "adultos_viaje", "ninos_viaje", "infantes_viaje", "cantidad_pasajeros_viaje",
-        "tipo_viajero",
+        "cantidad_pasajeros", *TRAVELLER_COLUMNS,
         *zero(*APP_COUNTERS), "ultima_visita_app_antes_trip1", "ultima_visita_app_antes_trip2",
         "first_click_datetime", "first_click_event_type", "last_click_datetime", "last_click_event_type",
         *MEASURES,
