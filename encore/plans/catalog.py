@@ -46,13 +46,9 @@ def result(name: str, item: str, sql: str | None = None):
 
 
 def tidy(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles rounded, so that summation order does not show in comparisons."""
-    return df.select(
-        *[
-            F.round(F.col(f.name), places).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
-            for f in df.schema.fields
-        ]
-    )
+    """Fractional columns rounded, so that summation order does not show in comparisons; no negative zeros."""
+    fractional = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: F.round(c, places) + F.lit(0.0) for c in fractional}) if fractional else df
 
 
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -38,7 +38,7 @@ def _cell(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "nan"
-        return round(value, 6) + 0.0
+        return value + 0.0
     if isinstance(value, datetime.datetime):
         return value.isoformat()
     if isinstance(value, (list, tuple)):
