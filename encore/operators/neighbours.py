@@ -180,6 +180,7 @@ def standardise_on_reference(reference: DataFrame, encoding: Encoding = Encoding
 
 
 SMALL_LEVELS = 100_000
+FEWEST_PIVOTS, MOST_PIVOTS = 32, 512
 
 
 @dataclass(frozen=True)
@@ -276,9 +277,10 @@ def _nearest(targets: pd.DataFrame, refs: pd.DataFrame, k: int, axes: int, categ
 
 @dataclass(frozen=True)
 class Blocks:
-    """Sizes of the exact join: pivots to prune with, and the most rows a block may hold."""
+    """Sizes of the exact join: pivots to prune with (None: by the number of references), and the most rows a
+    block may hold."""
 
-    pivots: int = 64
+    pivots: int | None = None
     targets: int = 4096
     references: int = 16384
 
@@ -308,7 +310,8 @@ def knn_join(
     same_point = Window.partitionBy("v").orderBy("id")
     references = references.withColumn("_copy", F.row_number().over(same_point)).filter(F.col("_copy") <= k).drop("_copy")
     references = written(references, "knn-references")
-    chosen = references.orderBy(seeded_hash("id", 7), "id").limit(blocks.pivots).collect()
+    wanted = blocks.pivots or min(MOST_PIVOTS, max(FEWEST_PIVOTS, math.isqrt(references.count()) // 2))
+    chosen = references.orderBy(seeded_hash("id", 7), "id").limit(wanted).collect()
     if not chosen:
         return targets.select("id").limit(0).selectExpr("id", "id AS vecino", "0D AS distancia", "1 AS puesto")
     pivots = np.array([row["v"] for row in chosen])
