@@ -84,9 +84,9 @@ def _end_record(source, size: int) -> tuple[int, int, int]:
     """(entries, directory size, directory start), from the ZIP64 end record if there is one."""
     length = min(size, 22 + 65535)
     tail = source.read_at(length, size - length)
-    at = tail.rfind(b"PK\x05\x06")
+    at = tail.rfind(b"PK\x05\x06", 0, max(0, length - 18))
     while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
-        at = tail.rfind(b"PK\x05\x06", 0, at)
+        at = tail.rfind(b"PK\x05\x06", 0, at + 3)
     if at < 0:
         raise ValueError("no end record: not a ZIP file")
     entries, directory, start = struct.unpack_from("<HII", tail, at + 10)
