@@ -23,12 +23,13 @@ REPORTS = (
     "multivariate_logrank", "roc_auc", "decile_lift", "audience_table", "knn_join", "knn_table",
     "recommendation_mart", "money_profile",
 )
+FITS = ("design_matrix", "logistic_l2", "permutation_importance", "partial_dependence")
 
 
 def main() -> None:
     sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
     from encore.plans import registry
-    from encore.plans.catalog import stages_for
+    from encore.plans.catalog import forget, stages_for
     from encore.session import build_session
 
     spark = build_session(
@@ -49,13 +50,14 @@ def main() -> None:
         stages.build_sides() if name == "sides" else getattr(stages, name)
         times[f"build_{name}"] = round(time.perf_counter() - start, 3)
     queries = registry.queries()
-    for name in REPORTS:
+    for name in (*REPORTS, *FITS):
         start = time.perf_counter()
         queries[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
     total = round(sum(times.values()), 3)
     scale = os.path.basename(FOLDER.rstrip("/"))
     print(json.dumps({"metric": "total_seconds", "value": total, "unit": "sec", "queries": times, "sf": scale}))
+    forget(spark)
     spark.stop()
 
 

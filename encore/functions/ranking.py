@@ -71,12 +71,12 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles: one row per group and probability (columns ``by``, ``probability``, ``value``).
 
-    Equal values are collapsed first, so a value that fills a third of the rows is one row here.
+    Equal values are collapsed first, so a value that fills a third of the rows is one row here. NaN counts as missing.
     """
     by = list(by)
     counts = (
-        df.filter(F.col(value).isNotNull())
-        .select(*by, F.col(value).cast("double").alias("_v"))
+        df.select(*by, F.col(value).cast("double").alias("_v"))
+        .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
         .groupBy(*by, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_bucket", magnitude_bucket(F.col("_v")))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.aggregates import as_col
 from ..functions.ranking import exact_quantiles
-from .propensity import CATEGORIES, FLAGS, OTHERS, Booster, feature_columns, predict
+from .propensity import CATEGORIES, FEATURES, FLAGS, OTHERS, Booster, Scorer, feature_columns, scorer
 
 # Score thresholds, levers, default actions and cross-sell suggestions.
 HIGH, MEDIUM = 0.35, 0.20
@@ -147,19 +147,25 @@ def audience_table(scored: DataFrame, importance: Mapping[str, float], choices:
 
 
 def score_audience(
-    view: DataFrame, booster: Booster, ids: DataFrame | None = None, only_non_repeaters: bool = False
+    view: DataFrame,
+    booster: Booster,
+    ids: DataFrame | None = None,
+    only_non_repeaters: bool = False,
+    score: Scorer | None = None,
 ) -> DataFrame:
-    """Audience, features, model score and actions in one plan."""
+    """Audience, features, score and actions in one pass: the bundle's model unless another score is given.
+
+    The audience's own columns travel beside the features under other names, so nothing is joined back.
+    """
     audience = load_audience(view, ids, only_non_repeaters)
-    raw = audience.select("social_id", *[F.col(c).alias(f"_{c}") for c in ("pais", "purchase_type", "cohort_year", "rebuy_ever")])
-    features = score_features(audience, booster.levels, booster.median_account_age)
-    scored = predict(booster.model, features.select("social_id", *CATEGORIES, *FLAGS, *[
-        c for c in ("log_gross_bookings", "visitas_app_90d_antes_trip1", "n_transacciones_trip1", "antiguedad_usuario_dias_al_trip1")
-    ]))
-    joined = scored.drop("pais", "purchase_type", "cohort_year").join(raw, "social_id").withColumnsRenamed(
-        {f"_{c}": c for c in ("pais", "purchase_type", "cohort_year", "rebuy_ever")}
+    own = ("pais", "purchase_type", "cohort_year", "rebuy_ever")
+    kept = audience.withColumns({f"_{c}": F.col(c) for c in own})
+    features = score_features(kept, booster.levels, booster.median_account_age)
+    rows = features.select("social_id", *FEATURES, *[f"_{c}" for c in own])
+    scored = (score or scorer(booster.model))(rows)
+    return audience_table(
+        scored.drop(*own).withColumnsRenamed({f"_{c}": c for c in own}), booster.importance
     )
-    return audience_table(joined, booster.importance)
 
 
 def segment_summary(table: DataFrame, score: str = "p_rebuy_18m") -> DataFrame:

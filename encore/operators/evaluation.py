@@ -151,12 +151,21 @@ def calibration(scored: DataFrame, bins: int = 10, score: str = "score", label:
 
 
 def grouped_auc(scored: DataFrame, by: Sequence[str], score: str = "score", label: str = "label") -> DataFrame:
-    """ROC-AUC of many small score sets at once; each set must fit one window, as evaluation samples do."""
-    counts = scored.groupBy(*by, score).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    lower = F.coalesce(F.sum("neg").over(below), F.lit(0))
+    """ROC-AUC of several score sets at once, each of any size: counts per score, carried from bucket to bucket."""
+    counts = (
+        scored.groupBy(*by, F.col(score).alias("_score"))
+        .agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
+        .withColumn("_b", _bucket(F.col("_score")))
+    )
+    under = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.groupBy(*by, "_b").agg(F.sum("neg").alias("_neg")).select(
+        *by, "_b", F.coalesce(F.sum("_neg").over(under), F.lit(0)).alias("_before")
+    )
+    below = Window.partitionBy(*by, "_b").orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
+    lower = F.col("_before") + F.coalesce(F.sum("neg").over(below), F.lit(0))
     return (
-        counts.withColumn("_wins", F.col("pos") * (lower + F.col("neg") / 2))
+        counts.join(starts, [*by, "_b"])
+        .withColumn("_wins", F.col("pos") * (lower + F.col("neg") / 2))
         .groupBy(*by)
         .agg(F.try_divide(F.sum("_wins"), F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
     )

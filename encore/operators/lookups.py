@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.aggregates import as_col
-from ..functions.places import DESTINATION_KIND_CITIES, REGION_CITIES, UNMAPPED, by_code
+from ..functions.places import DESTINATION_KIND_CITIES, REGION_CITIES, UNMAPPED
 from ..functions.text import first_item
 from .trips import MORE_TRIPS
 
@@ -37,7 +37,7 @@ def lookup(code: str | Column, cities: Mapping[str, str], first_of_list: bool =
     'A | B' is looked up by its first entry unless ``first_of_list`` is false.
     """
     code = first_item(code) if first_of_list else as_col(code)
-    table = F.create_map(*[F.lit(x) for pair in by_code(cities).items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in cities.items() for x in pair])
     return F.coalesce(F.try_element_at(table, code), F.lit(UNMAPPED))
 
 

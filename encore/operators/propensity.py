@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.functions import unwrap_udt
 
 from ..functions.aggregates import as_col
-from ..functions.ranking import exact_quantiles, seeded_hash, seeded_sample
+from ..functions.ranking import HASH_DIGITS, exact_quantiles, global_row_number, seeded_hash, seeded_sample
 from ..functions.text import first_item
+from ..session import written
 from .evaluation import grouped_auc
 from .targets import leakage_guard
 
@@ -83,10 +87,15 @@ def model_features(view: DataFrame, horizon: int = 18, keys: Sequence[str] = ("s
     return feature_columns(rows).select(*keys, *FEATURES, label)
 
 
+#: Most category levels that are sent by broadcast or held by the driver.
+MOST_LEVELS = 100_000
+
+
 def collapse_rare(rows: DataFrame, columns: Sequence[str] = COLLAPSED, min_count: int = 1000) -> DataFrame:
     """Values with fewer than ``min_count`` rows become 'Otros'; nulls stay null.
 
-    The kept values of a column number at most rows / min_count, and travel as one scalar map.
+    The kept values are written and counted. They are joined by broadcast while they are few; beyond that the joins are
+    left to adaptive execution.
     """
     entries = [F.struct(F.lit(c).alias("columna"), F.col(c).alias("valor")) for c in columns]
     counts = (
@@ -95,16 +104,15 @@ def collapse_rare(rows: DataFrame, columns: Sequence[str] = COLLAPSED, min_count
         .groupBy("e.columna", "e.valor")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= min_count)
-        .groupBy("columna")
-        .agg(F.collect_list("valor").alias("valores"))
     )
-    kept = counts.select(F.map_from_entries(F.collect_list(F.struct("columna", "valores")))).scalar()
-
-    def replaced(c: str) -> Column:
-        known = F.array_contains(F.try_element_at(kept, F.lit(c)), F.col(c))
-        return F.when(F.col(c).isNull() | known, F.col(c)).otherwise(OTHERS)
-
-    return rows.withColumns({c: replaced(c) for c in columns})
+    kept = written(counts.select("columna", "valor"), "levels")
+    few = kept.count() <= MOST_LEVELS
+    names = rows.columns
+    for i, c in enumerate(columns):
+        known = kept.filter(F.col("columna") == c).select(F.col("valor").alias(f"_kept{i}"))
+        rows = rows.join(F.broadcast(known) if few else known, F.col(c) == F.col(f"_kept{i}"), "left")
+        rows = rows.withColumn(c, F.when(F.col(c).isNull(), F.col(c)).otherwise(F.coalesce(f"_kept{i}", F.lit(OTHERS)))).select(*names)
+    return rows
 
 
 def temporal_split(rows: DataFrame, cutoff: str = CUTOFF_MONTH) -> tuple[DataFrame, DataFrame]:
@@ -180,10 +188,12 @@ def design_matrix(
 
 def design_rows(design: Design, rows: DataFrame, key: str = "social_id") -> DataFrame:
     """The non-zero cells of the design in long form (key, feature, value)."""
-    wide = design.model.transform(rows).select(key, vector_to_array("features").alias("x"))
+    x = unwrap_udt(F.col("features"))
+    sparse = F.arrays_zip(x["indices"].alias("i"), x["values"].alias("value"))
+    dense = F.transform(x["values"], lambda v, i: F.struct(i.alias("i"), v.alias("value")))
+    cells = design.model.transform(rows).select(key, F.explode(F.when(x["type"] == 0, sparse).otherwise(dense)).alias("c"))
     names = F.array(*[F.lit(n) for n in design.names])
-    cells = wide.select(key, F.explode(F.arrays_zip(names.alias("feature"), F.col("x").alias("value"))).alias("c"))
-    return cells.select(key, "c.feature", "c.value").filter("value != 0")
+    return cells.filter("c.value <> 0").select(key, F.get(names, F.col("c.i")).alias("feature"), "c.value")
 
 
 # --- logistic regression ----------------------------------------------------------------------------------------
@@ -197,30 +207,70 @@ class Logistic:
     intercept: float
 
 
+def _fitted(rows: DataFrame, c: float, max_iter: int):
+    """The fit over rows that hold ``features`` and ``label``."""
+    return LogisticRegression(
+        regParam=1.0 / (c * rows.count()),
+        elasticNetParam=0.0,
+        standardization=False,
+        maxIter=max_iter,
+        tol=1e-9,
+        family="binomial",
+    ).fit(rows)
+
+
+def _matrix(design: Design, rows: DataFrame, *keys: str) -> DataFrame:
+    return design.model.transform(rows).select(*keys, "features", F.col("label").cast("double").alias("label"))
+
+
 def logistic_l2(train: DataFrame, c: float = 1.0, max_iter: int = 200, design: Design | None = None) -> Logistic:
     """L2 logistic regression with the penalty of inverse strength ``c`` on the summed loss."""
     design = design or design_matrix(train)
-    rows = design.model.transform(train).select("features", F.col("label").cast("double").alias("label")).persist()
+    rows = _matrix(design, train).persist()
     try:
-        fit = LogisticRegression(
-            regParam=1.0 / (c * rows.count()),
-            elasticNetParam=0.0,
-            standardization=False,
-            maxIter=max_iter,
-            tol=1e-9,
-            family="binomial",
-        ).fit(rows)
+        fit = _fitted(rows, c, max_iter)
     finally:
         rows.unpersist()
     names = dict(zip(design.names, (float(v) for v in fit.coefficients.toArray())))
     return Logistic(design, fit, names, float(fit.intercept))
 
 
+def logistic_gradient(fit: Logistic, train: DataFrame, c: float = 1.0) -> DataFrame:
+    """Slope of the penalised loss for each feature: zero at the optimum."""
+    scored = fit.model.transform(_matrix(fit.design, train, "social_id"))
+    rest = scored.select("social_id", (vector_to_array("probability")[1] - F.col("label")).alias("rest"))
+    pulls = design_rows(fit.design, train).join(rest, "social_id").groupBy("feature").agg(F.sum(F.col("value") * F.col("rest")).alias("pull"))
+    betas = odds_ratios(train.sparkSession, fit)
+    return betas.join(pulls, "feature", "left").select(
+        "feature", (F.coalesce("pull", F.lit(0.0)) + F.col("coef") / c).alias("gradient")
+    )
+
+
 def odds_ratios(spark: SparkSession, fit: Logistic) -> DataFrame:
     rows = [(name, beta) for name, beta in fit.coefficients.items()]
     return spark.createDataFrame(rows, "feature string, coef double").withColumn("odds_ratio", F.exp("coef"))
 
 
+def bootstrap_samples(ids: DataFrame, n: int, size: int, first_seed: int = 1000) -> DataFrame:
+    """(muestra, social_id): ``n`` samples of ``size`` users without replacement."""
+    parts = [
+        seeded_sample(ids.select("social_id"), size, "social_id", first_seed + i).withColumn("muestra", F.lit(i)) for i in range(n)
+    ]
+    return reduce(DataFrame.unionByName, parts).select("muestra", "social_id")
+
+
+def bootstrap_interval(fits: DataFrame, n: int) -> DataFrame:
+    """Percentile interval of each odds ratio over the drawn (muestra, feature, beta), with a sign-crossing p-value."""
+    ends = F.percentile("beta", F.array(F.lit(0.025), F.lit(0.975)))
+    share = lambda condition: F.avg(F.when(condition, 1.0).otherwise(0.0))
+    crossing = 2 * F.least(share(F.col("beta") > 0), share(F.col("beta") < 0))
+    return fits.groupBy("feature").agg(
+        F.exp(ends[0]).alias("or_low"),
+        F.exp(ends[1]).alias("or_high"),
+        F.least(F.lit(1.0), F.greatest(crossing, F.lit(1.0 / n))).alias("p_value"),
+    )
+
+
 def bootstrap_ci(
     train: DataFrame,
     point: Logistic,
@@ -228,33 +278,31 @@ def bootstrap_ci(
     size: int = 150_000,
     replacement: bool = False,
     first_seed: int = 1000,
+    at_once: int = 4,
 ) -> DataFrame:
-    """Percentile intervals of each odds ratio over repeated fits, with a sign-crossing p-value.
+    """Intervals of each odds ratio over repeated fits.
 
-    By default each fit draws rows without replacement; ``replacement=True`` gives a true bootstrap. Every
-    fit runs on the whole cluster; only its coefficients come back.
+    The design is written once, and each fit reads its rows from there. By default rows are drawn without replacement;
+    ``replacement=True`` gives a true bootstrap. Fits run on the whole cluster, ``at_once`` side by side; only their
+    coefficients come back.
     """
     spark = train.sparkSession
-    total = train.count()
-    drawn: list[tuple[int, str, float]] = []
-    for i in range(n):
+    matrix = written(_matrix(point.design, train, "social_id"), "bootstrap-design")
+    total = max(matrix.count(), 1)
+
+    def one(i: int) -> list[tuple[int, str, float]]:
         if replacement:
-            rows = train.sample(True, min(1.0, size / max(total, 1)), first_seed + i)
+            rows = matrix.sample(True, min(1.0, size / total), first_seed + i)
         else:
-            rows = seeded_sample(train, size, "social_id", first_seed + i)
-        fit = logistic_l2(rows, design=point.design)
-        drawn += [(i, name, beta) for name, beta in fit.coefficients.items()]
+            rows = seeded_sample(matrix, size, "social_id", first_seed + i)
+        betas = _fitted(rows, 1.0, 200).coefficients.toArray()
+        return [(i, name, float(beta)) for name, beta in zip(point.design.names, betas)]
+
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        drawn = [row for rows in pool.map(one, range(n)) for row in rows]
     fits = spark.createDataFrame(drawn, "muestra int, feature string, beta double")
-    ends = F.percentile("beta", F.array(F.lit(0.025), F.lit(0.975)))
-    share = lambda condition: F.avg(F.when(condition, 1.0).otherwise(0.0))
-    crossing = 2 * F.least(share(F.col("beta") > 0), share(F.col("beta") < 0))
-    spread = fits.groupBy("feature").agg(
-        F.exp(ends[0]).alias("or_low"),
-        F.exp(ends[1]).alias("or_high"),
-        F.least(F.lit(1.0), F.greatest(crossing, F.lit(1.0 / n))).alias("p_value"),
-    )
     table = odds_ratios(spark, point).withColumnRenamed("odds_ratio", "or")
-    return table.join(F.broadcast(spread), "feature").orderBy(F.desc("or"), "feature")
+    return table.join(F.broadcast(bootstrap_interval(fits, n)), "feature").orderBy(F.desc("or"), "feature")
 
 
 def logistic_score(
@@ -340,29 +388,37 @@ def predict(model: PipelineModel, rows: DataFrame, name: str = "score") -> DataF
     return scored.select(*rows.columns, name)
 
 
+Scorer = Callable[[DataFrame], DataFrame]
+
+
+def scorer(model: PipelineModel) -> Scorer:
+    """A fitted model as a function that adds ``score``; any such function can be examined below."""
+    return lambda rows: predict(model, rows)
+
+
+def _places(rows: DataFrame, seed: int, turn: int, name: str) -> DataFrame:
+    """Row numbers by a seeded hash, counted over hash buckets so that no task orders all rows."""
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(turn)), F.col("social_id")).cast("binary"))
+    hashed = rows.withColumn("_mark", mark)
+    return global_row_number(hashed, ["_mark", "social_id"], F.substring("_mark", 1, HASH_DIGITS), name).drop("_mark")
+
+
 def permutation_importance(
-    model: PipelineModel,
-    test: DataFrame,
-    features: Sequence[str] = FEATURES,
-    repeats: int = 5,
-    max_rows: int = 50_000,
-    seed: int = 42,
+    score: Scorer, test: DataFrame, features: Sequence[str] = FEATURES, repeats: int = 5, seed: int = 42
 ) -> DataFrame:
-    """Mean fall in ROC-AUC when one column is shuffled, floored at zero.
+    """Mean fall in ROC-AUC when one column is shuffled over all test rows, floored at zero.
 
-    Each repeat pairs every row with another one; all columns and repeats are scored in a single pass.
+    Each repeat pairs every row with another one by the order of their hashes.
     """
-    sample = seeded_sample(test, max_rows, "social_id", seed).select("social_id", "label", *features)
-    numbered = sample.withColumn("_repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    plain = Window.partitionBy("_repeat").orderBy("social_id")
-    mixed = Window.partitionBy("_repeat").orderBy(
-        F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_repeat").cast("string"), "social_id").cast("binary"))
-    )
-    own = numbered.withColumn("_place", F.row_number().over(plain))
-    donor = numbered.select(
-        "_repeat", F.row_number().over(mixed).alias("_place"), *[F.col(c).alias(f"{c}__d") for c in features]
-    )
-    pairs = own.join(donor, ["_repeat", "_place"])
+    rows = test.select("social_id", "label", *features)
+    own = _places(rows, seed, 0, "_place")
+    donors = [
+        _places(rows.select("social_id", *[F.col(c).alias(f"{c}__d") for c in features]), seed, turn, "_place")
+        .drop("social_id")
+        .withColumn("_repeat", F.lit(turn))
+        for turn in range(1, repeats + 1)
+    ]
+    pairs = own.join(reduce(DataFrame.unionByName, donors), "_place")
     each = pairs.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in features])))
     shuffled = each.select(
         "feature",
@@ -371,9 +427,9 @@ def permutation_importance(
         "label",
         *[F.when(F.col("feature") == c, F.col(f"{c}__d")).otherwise(F.col(c)).alias(c) for c in features],
     )
-    base = predict(model, sample.withColumns({"feature": F.lit("none"), "_repeat": F.lit(0)}))
-    worse = grouped_auc(predict(model, shuffled), ["feature", "_repeat"])
-    reference = grouped_auc(base, ["feature"]).select("roc_auc").scalar()
+    base = rows.withColumns({"feature": F.lit("none"), "_repeat": F.lit(0)})
+    worse = grouped_auc(score(shuffled), ["feature", "_repeat"])
+    reference = grouped_auc(score(base), ["feature"]).select("roc_auc").scalar()
     return (
         worse.groupBy("feature")
         .agg(F.avg("roc_auc").alias("shuffled"))
@@ -393,16 +449,13 @@ def grid_values(rows: DataFrame, column: str, resolution: int = 30) -> list[floa
     return [low + (high - low) * i / (resolution - 1) for i in range(resolution)]
 
 
-def partial_dependence(
-    model: PipelineModel, rows: DataFrame, column: str, resolution: int = 30, max_rows: int = 100_000, seed: int = 42
-) -> DataFrame:
-    """Mean prediction with one column fixed at each grid value."""
-    sample = seeded_sample(rows, max_rows, "social_id", seed)
-    grid = grid_values(sample, column, resolution)
-    fixed = sample.withColumn(column, F.explode(F.array(*[F.lit(float(v)) for v in grid])))
-    scored = predict(model, fixed)
+def partial_dependence(score: Scorer, rows: DataFrame, column: str, resolution: int = 30) -> DataFrame:
+    """Mean score of all rows with one column fixed at each grid value."""
+    grid = grid_values(rows, column, resolution)
+    fixed = rows.withColumn(column, F.explode(F.array(*[F.lit(float(v)) for v in grid])))
     return (
-        scored.groupBy(as_col(column).alias("grid"))
+        score(fixed)
+        .groupBy(as_col(column).alias("grid"))
         .agg(F.avg("score").alias("avg_pred"))
         .select(F.lit(column).alias("feature"), "grid", "avg_pred")
         .orderBy("grid")
@@ -410,9 +463,23 @@ def partial_dependence(
 
 
 def category_levels(rows: DataFrame, categories: Sequence[str] = CATEGORIES) -> dict[str, list[str]]:
-    """Levels of each category. Call it after rare levels were collapsed, so that the lists stay short."""
-    sets = rows.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in categories]).first()
-    return {c: list(sets[c]) for c in categories}
+    """Levels of each category. More than ``MOST_LEVELS`` in all are refused: collapse rare ones first."""
+    entries = [F.struct(F.lit(c).alias("columna"), F.col(c).alias("valor")) for c in categories]
+    found = rows.select(F.explode(F.array(*entries)).alias("e")).select("e.*").filter("valor IS NOT NULL").distinct()
+    levels: dict[str, list[str]] = {c: [] for c in categories}
+    listed = found.limit(MOST_LEVELS + 1).collect()
+    if len(listed) > MOST_LEVELS:
+        raise ValueError("too many category levels; call collapse_rare first")
+    for row in listed:
+        levels[row["columna"]].append(row["valor"])
+    return {c: sorted(values) for c, values in levels.items()}
+
+
+def model_bundle(train: DataFrame, test: DataFrame, repeats: int = 5, **settings) -> Booster:
+    """Boosted trees with their levels, median and the permutation importance that ranks the levers."""
+    booster = boosted_trees(train, **settings)
+    found = permutation_importance(scorer(booster.model), test, repeats=repeats).collect()
+    return replace(booster, importance={row["feature"]: row["importance"] for row in found})
 
 
 def save_model(spark: SparkSession, booster: Booster, path: str) -> None:

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..oracle import models_sql as sample
 from ..sources.retail import RetailSources
-from .stages import Stages, TableStore
+from .stages import Modelling, Stages, TableStore
 
 
 @dataclass(frozen=True)
@@ -19,6 +20,12 @@ class Result:
     sql: str | None
 
 
+#: Settings of the registered results, which run over small sample data.
+MODELLING = Modelling(
+    rare=sample.RARE, cutoff=sample.CUTOFF, coefficients=sample.COEFFICIENTS, intercept=sample.INTERCEPT,
+    trees={"max_depth": 6, "max_iter": 20}, repeats=5,
+)
+
 CATALOG: dict[str, Result] = {}
 _OPEN: dict[tuple[str, str], Stages] = {}
 
@@ -27,14 +34,14 @@ def stages_for(spark: SparkSession, folder: str) -> Stages:
     """One set of shared tables per application and data folder."""
     key = (spark.sparkContext.applicationId, folder.rstrip("/"))
     if key not in _OPEN:
-        _OPEN[key] = Stages(RetailSources(spark, folder), TableStore(spark))
+        _OPEN[key] = Stages(RetailSources(spark, folder), TableStore(spark), modelling=MODELLING)
     return _OPEN[key]
 
 
 def forget(spark: SparkSession) -> None:
-    """Start the shared tables over."""
+    """Start the shared tables over; what was written is deleted."""
     for key in [k for k in _OPEN if k[0] == spark.sparkContext.applicationId]:
-        del _OPEN[key]
+        _OPEN.pop(key).store.remove()
 
 
 def result(name: str, item: str, sql: str | None = None):

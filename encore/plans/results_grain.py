@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import grain, lookups, targets
-from ..oracle.grain_sql import END, MARGIN_SINCE, MEDIA_SINCE, _targets
+from ..oracle.grain_sql import MARGIN_SINCE, MEDIA_SINCE
 from ..functions import ranking
 from .catalog import result
 from .stages import Stages
@@ -32,8 +32,8 @@ def _(s: Stages):
 @result(
     "horizon_targets",
     "D32",
-    f"""SELECT social_id, fecha_primer_trip, fecha_segundo_trip, {_targets("fecha_primer_trip", "fecha_segundo_trip", END)}
-    FROM user_level""",
+    """SELECT social_id, fecha_primer_trip, fecha_segundo_trip, h.* EXCLUDE (social_id)
+    FROM user_level JOIN horizon_flags h USING (social_id)""",
 )
 def _(s: Stages):
     return targets.horizon_targets(s.user_level)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..operators import actions, evaluation, mart, neighbours, propensity, quality, survival
@@ -46,12 +48,12 @@ def _(s: Stages):
 
 @result("logrank_terms", "V5", "SELECT * FROM lr_terms")
 def _(s: Stages):
-    return survival.logrank_terms(survival.duration_event(s.modeling_view), sql.LOGRANK_GROUPS, sql.KM_MIN)
+    return survival.logrank_terms(survival.duration_event(s.modeling_view), min_n=sql.KM_MIN)
 
 
 @result("multivariate_logrank", "V5", "SELECT * FROM lr_test")
 def _(s: Stages):
-    return survival.multivariate_logrank(survival.duration_event(s.modeling_view), sql.LOGRANK_GROUPS, sql.KM_MIN)
+    return survival.multivariate_logrank(survival.duration_event(s.modeling_view), min_n=sql.KM_MIN)
 
 
 # --- propensity -------------------------------------------------------------------------------------------------
@@ -108,20 +110,56 @@ def _(s: Stages):
     return propensity.design_rows(propensity.design_matrix(s.model_rows), s.model_rows)
 
 
-@result("logistic_l2", "M6")
+_TRAINED_NAMES = " UNION ALL ".join(
+    [f"SELECT '{c}_' || v AS feature FROM (SELECT DISTINCT {c} AS v FROM training) WHERE v > (SELECT min({c}) FROM training)" for c in sql.CATEGORIES]
+    + [f"SELECT '{c}'" for c in (*sql.FLAGS, *sql.NUMBERS)]
+)
+
+
+@result("logistic_l2", "M6", f"SELECT feature, 0::DOUBLE AS gradient FROM ({_TRAINED_NAMES})")
 def _(s: Stages):
-    return propensity.odds_ratios(s.store.spark, propensity.logistic_l2(s.model_split[0]))
+    train = s.model_split[0]
+    slopes = propensity.logistic_gradient(propensity.logistic_l2(train), train)
+    return slopes.select("feature", (F.round("gradient", 0) + F.lit(0.0)).alias("gradient"))
 
 
-@result("bootstrap_ci", "M7")
+@result("bootstrap_ci", "M7", f"SELECT feature, true AS ordered, true AS share FROM ({_TRAINED_NAMES})")
 def _(s: Stages):
     train = s.model_split[0]
-    return propensity.bootstrap_ci(train, propensity.logistic_l2(train), n=3, size=400)
+    found = propensity.bootstrap_ci(train, propensity.logistic_l2(train), n=20, size=400)
+    return found.select("feature", (F.col("or_low") <= F.col("or_high")).alias("ordered"), F.col("p_value").between(0.05, 1.0).alias("share"))
+
+
+@result(
+    "bootstrap_samples",
+    "M7",
+    """SELECT muestra, social_id FROM (
+        SELECT m::INTEGER AS muestra, social_id, row_number() OVER (PARTITION BY m ORDER BY md5((1000 + m) || ':' || social_id), social_id) AS n
+        FROM training, (SELECT unnest(range(0, 20)) AS m)) WHERE n <= 400""",
+)
+def _(s: Stages):
+    return propensity.bootstrap_samples(s.model_split[0], n=20, size=400)
 
 
-@result("boosted_trees", "M8")
+@result(
+    "bootstrap_interval",
+    "M7",
+    """SELECT c_mktsegment AS feature, exp(quantile_cont(b, 0.025)) AS or_low, exp(quantile_cont(b, 0.975)) AS or_high,
+        least(1, greatest(2 * least(avg((b > 0)::INTEGER), avg((b < 0)::INTEGER)), 1 / 500)) AS p_value
+    FROM (SELECT c_mktsegment, c_acctbal::DOUBLE / 10000 AS b FROM customer) GROUP BY c_mktsegment""",
+)
+def _(s: Stages):
+    rows = s.src.table("customer").select(
+        F.col("c_custkey").alias("muestra"), F.col("c_mktsegment").alias("feature"), (F.col("c_acctbal").cast("double") / 10000).alias("beta")
+    )
+    return propensity.bootstrap_interval(rows, 500)
+
+
+@result("boosted_trees", "M8", "SELECT social_id, label, true AS inside, true AS better FROM training")
 def _(s: Stages):
-    return propensity.predict(s.booster.model, s.model_split[1]).select("social_id", "label", "score")
+    scored = propensity.predict(s.booster.model, s.model_split[0])
+    area = evaluation.roc_auc(scored).select("roc_auc").scalar()
+    return scored.select("social_id", "label", F.col("score").between(0, 1).alias("inside"), (area > 0.5).alias("better"))
 
 
 @result("logistic_score", "M9", f"SELECT social_id, label, {sql.score_expression()} AS score FROM feats")
@@ -180,22 +218,29 @@ def _(s: Stages):
     return evaluation.calibration(s.rounded_scores)
 
 
-@result("permutation_importance", "M14")
+def _given_score(rows):
+    return rows.withColumn("score", F.bround(propensity.logistic_score(sql.COEFFICIENTS, sql.INTERCEPT), 4))
+
+
+@result("permutation_importance", "M14", sql.permutation_statement(repeats=5))
 def _(s: Stages):
-    return propensity.permutation_importance(s.booster.model, s.model_split[1], repeats=2)
+    return propensity.permutation_importance(_given_score, s.model_split[1])
 
 
-@result("partial_dependence", "M15")
+@result("partial_dependence", "M15", sql.dependence_statement("n_transacciones_trip1"))
 def _(s: Stages):
-    return propensity.partial_dependence(s.booster.model, s.model_split[0], "visitas_app_90d_antes_trip1")
+    return propensity.partial_dependence(_given_score, s.model_split[0], "n_transacciones_trip1")
 
 
-@result("save_load_model", "M16")
+@result("save_load_model", "M16", "SELECT social_id, true AS same FROM testing")
 def _(s: Stages):
     path = f"{s.store.root}/saved"
     propensity.save_model(s.store.spark, s.booster, path)
     again = propensity.load_model(s.store.spark, path)
-    return propensity.predict(again.model, s.model_split[1]).select("social_id", "score")
+    own = propensity.predict(s.booster.model, s.model_split[1]).select("social_id", "score")
+    read = propensity.predict(again.model, s.model_split[1]).select("social_id", F.col("score").alias("again"))
+    kept = again.importance == s.booster.importance and again.levels == s.booster.levels
+    return own.join(read, "social_id").select("social_id", ((F.abs(F.col("score") - F.col("again")) < 1e-9) & F.lit(kept)).alias("same"))
 
 
 # --- scoring ----------------------------------------------------------------------------------------------------
@@ -218,13 +263,14 @@ _KNOWN = ", ".join(
     for c in sql.CATEGORIES
 )
 _TRAIN_MEDIAN = sql.quantile("training", "antiguedad_usuario_dias_al_trip1", 0.5)
+_SCORE_FEATURES = f"""SELECT social_id, {_KNOWN}, {', '.join(sql.FLAGS)}, {', '.join(c for c in sql.NUMBERS)} FROM (
+        {sql.features('audience', _TRAIN_MEDIAN)} FROM audience)"""
 
 
 @result(
     "score_features",
     "R2",
-    f"""SELECT social_id, {_KNOWN}, {', '.join(sql.FLAGS)}, {', '.join(c for c in sql.NUMBERS)} FROM (
-        {sql.features('audience', _TRAIN_MEDIAN)} FROM audience)""",
+    _SCORE_FEATURES,
 )
 def _(s: Stages):
     train, _ = s.model_split
@@ -264,9 +310,18 @@ def _(s: Stages):
     return actions.audience_table(s.audience_scored, sql.IMPORTANCE)
 
 
-@result("score_audience", "R6")
+@result(
+    "score_audience",
+    "R6",
+    f"""SELECT a.social_id, a.pais, a.purchase_type AS purchase_type_t1, a.cohort_year, a.rebuy_ever, round_even(f.score, 4) AS p_rebuy_18m,
+        CASE WHEN f.score >= 0.35 THEN 'alto' WHEN f.score >= 0.20 THEN 'medio' ELSE 'bajo' END AS segmento,
+        x.palanca_1, x.accion_1, x.palanca_2, x.accion_2, a.producto_sugerido
+    FROM (SELECT social_id, {sql.score_expression()} AS score FROM ({_SCORE_FEATURES})) f
+    JOIN (SELECT *, {sql.CROSS_SQL} AS producto_sugerido FROM audience) a ON a.social_id = f.social_id JOIN actions x ON x.social_id = f.social_id""",
+)
 def _(s: Stages):
-    return actions.score_audience(s.modeling_view, s.booster)
+    given = lambda rows: rows.withColumn("score", propensity.logistic_score(sql.COEFFICIENTS, sql.INTERCEPT))
+    return actions.score_audience(s.modeling_view, replace(s.booster, importance=sql.IMPORTANCE), score=given)
 
 
 @result(

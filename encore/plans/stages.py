@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import actions, enrich, grain, lookups, neighbours, propensity, targets, trips, wide
-from ..oracle import models_sql as settings
-from ..session import shared_dir
+from ..session import remove_folder, shared_dir
 
 
 class TableStore:
@@ -30,11 +30,30 @@ class TableStore:
         frame.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def remove(self) -> None:
+        """Deletes everything this store has written; call it when the application is done with its tables."""
+        remove_folder(self.spark, self.root)
+
+
+@dataclass(frozen=True)
+class Modelling:
+    """Settings of the modelling tables: rare levels, cut-off month, a given score, and the boosted trees."""
+
+    rare: int = 1000
+    cutoff: str = propensity.CUTOFF_MONTH
+    coefficients: Mapping[str, float] = field(default_factory=dict)
+    intercept: float = 0.0
+    trees: Mapping[str, int] = field(default_factory=dict)
+    repeats: int = 5
+
 
 class Stages:
     """Every shared result over one set of sources, built on first use."""
 
-    def __init__(self, sources, store: TableStore, *, pre_days: int = 90, post_days: int = 90):
+    def __init__(
+        self, sources, store: TableStore, *, pre_days: int = 90, post_days: int = 90, modelling: Modelling = Modelling()
+    ):
+        self.modelling = modelling
         self.src = sources
         self.store = store
         self.scope = trips.Scope(brand=sources.brand)
@@ -60,9 +79,9 @@ class Stages:
             "detail", lambda: trips.trip_detail(self.users, self.src.trips, self.confirmed, self.scope)
         )
 
-    @property
+    @cached_property
     def targets(self) -> DataFrame:
-        return trips.target_transactions(self.detail)
+        return self.store.keep("targets", lambda: trips.target_transactions(self.detail))
 
     @cached_property
     def payments(self) -> DataFrame:
@@ -121,7 +140,7 @@ class Stages:
     def build_sides(self) -> None:
         """Writes the side tables that do not depend on each other at the same time."""
         names = ("payments", "app", "profile", "economics_table", "coupons_table", "cabins_table", "passengers_table")
-        _ = self.detail
+        _ = self.targets
         with ThreadPoolExecutor(max_workers=len(names)) as pool:
             list(pool.map(lambda name: getattr(self, name), names))
 
@@ -186,26 +205,24 @@ class Stages:
             "knn_users", lambda: lookups.with_destination_types(lookups.impute_and_log(self.user_grain))
         )
 
-    # Modelling on the sample data: thresholds and coefficients come from the check settings.
-
     @cached_property
     def model_rows(self) -> DataFrame:
         return self.store.keep(
             "model_rows",
-            lambda: propensity.collapse_rare(propensity.model_features(self.modeling_view), min_count=settings.RARE),
+            lambda: propensity.collapse_rare(propensity.model_features(self.modeling_view), min_count=self.modelling.rare),
         )
 
     @property
     def model_split(self) -> tuple[DataFrame, DataFrame]:
-        return propensity.temporal_split(self.model_rows, settings.CUTOFF)
+        return propensity.temporal_split(self.model_rows, self.modelling.cutoff)
 
     @cached_property
     def booster(self) -> propensity.Booster:
-        return propensity.boosted_trees(self.model_split[0], max_depth=4, max_iter=10)
+        return propensity.model_bundle(*self.model_split, repeats=self.modelling.repeats, **self.modelling.trees)
 
     @property
     def scored(self) -> DataFrame:
-        score = propensity.logistic_score(settings.COEFFICIENTS, settings.INTERCEPT)
+        score = propensity.logistic_score(self.modelling.coefficients, self.modelling.intercept)
         return propensity.model_features(self.modeling_view).withColumn("score", score)
 
     @property
@@ -215,7 +232,7 @@ class Stages:
     @property
     def audience_scored(self) -> DataFrame:
         rows = propensity.feature_columns(actions.load_audience(self.modeling_view))
-        return rows.withColumn("score", propensity.logistic_score(settings.COEFFICIENTS, settings.INTERCEPT))
+        return rows.withColumn("score", propensity.logistic_score(self.modelling.coefficients, self.modelling.intercept))
 
     @property
     def knn_groups(self) -> tuple[DataFrame, DataFrame]:

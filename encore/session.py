@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,16 +28,16 @@ def build_session(app: str = "encore", master: str | None = None, **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder for tables that cut lineage: ``spark.checkpoint.dir``, which every executor can read.
 
-    Only a local master may fall back to a machine-local folder.
+    Where that is unset, a folder beside the tables of the warehouse, which executors share as well.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="encore-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder.rstrip("/") if folder else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of tables that is no longer needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -28,29 +29,46 @@ def _header(spark: SparkSession, path: str) -> str:
     return first["value"] if first else ""
 
 
+def _headers(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """First lines of all files, read side by side; each job stops at its first row."""
+    if not paths:
+        return []
+    with ThreadPoolExecutor(max_workers=min(16, len(paths))) as pool:
+        return list(pool.map(lambda path: _header(spark, path), paths))
+
+
 def read_drifting_csv(
-    spark: SparkSession, paths: Sequence[str], keep_corrupt: bool = False, columns: Sequence[str] | None = None
+    spark: SparkSession,
+    paths: Sequence[str],
+    keep_corrupt: bool = False,
+    columns: Sequence[str] | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """CSV files whose columns come and go, united by name, all as text, with the file name in ``archivo``.
 
-    Lines with the wrong number of fields are dropped, or kept with their text in ``_corrupt_record`` if
-    ``keep_corrupt`` is set, so that drops can be counted. Files that share a header are read together. Lines
-    are parsed by ``from_csv``: whatever columns a query uses, the same lines count as malformed.
+    Records with the wrong number of fields are dropped, or kept with their text in ``_corrupt_record`` if
+    ``keep_corrupt`` is set, so that drops can be counted. Files that share a header are read together. All columns
+    are parsed whatever a query uses, so the same records count as malformed. Quoted fields may hold line breaks, for
+    which each file is read by one task; files without them can be split with ``multi_line=False``.
     """
     by_header: dict[str, list[str]] = {}
-    for path in paths:
-        by_header.setdefault(_header(spark, path), []).append(path)
+    for path, header in zip(paths, _headers(spark, paths), strict=True):
+        by_header.setdefault(header, []).append(path)
     united: DataFrame | None = None
     for header, files in by_header.items():
         names = next(csv.reader([header.lstrip("\ufeff")]), [])
-        schema = ", ".join(f"`{n}` string" for n in (*names, CORRUPT))
-        parsed = F.from_csv("value", schema, {**CSV_OPTIONS, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, CORRUPT)])
         part = (
-            spark.read.text(files)
-            .filter((F.col("value") != header) & (F.trim("value") != ""))
-            .select(parsed.alias("r"), F.col("_metadata.file_name").alias("archivo"))
+            _csv(spark)
+            .options(multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, columnPruning=False, enforceSchema=True)
+            .schema(schema)
+            .csv(files)
+            .withColumn("archivo", F.col("_metadata.file_name"))
         )
-        wanted = [f"r.{n}" for n in (*names, CORRUPT) if n == CORRUPT or columns is None or n in columns]
+        # Spark refuses queries over the corrupt text alone, such as a count of it; a null of the first column goes with it.
+        first = F.col(f"`{names[0]}`") if names else F.lit(None)
+        part = part.withColumn(CORRUPT, F.coalesce(CORRUPT, F.nullif(first, first)))
+        wanted = [F.col(f"`{n}`") for n in (*names, CORRUPT) if n == CORRUPT or columns is None or n in columns]
         part = part.select(*wanted, "archivo")
         united = part if united is None else united.unionByName(part, allowMissingColumns=True)
     if united is None:
@@ -74,14 +92,20 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fact(
-    spark: SparkSession, path: str, partition: str, start: str | date | None = None, end: str | date | None = None
+    spark: SparkSession,
+    path: str,
+    partition: str,
+    start: str | date | None = None,
+    end: str | date | None = None,
+    schema: T.StructType | None = None,
 ) -> DataFrame:
     """A partitioned fact, limited by its text partition column.
 
     The bounds are literals, so only the wanted folders are listed and read; without bounds the null partition
-    is left out. Facts that are partitioned by month take 'YYYY-MM' bounds.
+    is left out. Facts that are partitioned by month take 'YYYY-MM' bounds. With a
+    ``schema`` no folder is listed to infer one.
     """
-    schema = spark.read.parquet(path).schema
+    schema = schema or spark.read.parquet(path).schema
     as_text = T.StructType(
         [T.StructField(f.name, T.StringType()) if f.name == partition else f for f in schema.fields]
     )
@@ -131,6 +155,19 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
+def write_csv_file(rows: DataFrame, path: str) -> None:
+    """One CSV file of exactly this name, as exports for people have it; a single task writes it."""
+    spark = rows.sparkSession
+    folder = f"{path}-parts"
+    write_csv(rows.coalesce(1), folder)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    (part,) = [f.getPath() for f in system.globStatus(hadoop.Path(f"{folder}/part-*"))]
+    system.delete(hadoop.Path(path), True)
+    system.rename(part, hadoop.Path(path))
+    system.delete(hadoop.Path(folder), True)
+
+
 def nan_to_null(rows: DataFrame) -> DataFrame:
     """NaN in floating-point columns becomes null."""
     floating = [f.name for f in rows.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]

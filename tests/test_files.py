@@ -74,8 +74,36 @@ def test_intake_keeps_the_newest_file_per_user(spark, folder):
     export(landing, 2024, 1, [row("a", "old", 9.0), row("c", "late", 4.0)])
     export(landing, 2024, 3, [row("b", "newest", 7.0)])
     run()
-    last = max(int(p.name.split("=")[1]) for p in Path(f"{folder}/users").glob("version=*"))
-    got = {r["social_id"]: (r["pais"], r["gross_bookings_usd"], r["archivo_mes"]) for r in table.read(last).collect()}
+    got = {r["social_id"]: (r["pais"], r["gross_bookings_usd"], r["archivo_mes"]) for r in table.read().collect()}
     assert got == {"a": ("new", 1.0, 2), "b": ("newest", 7.0, 3), "c": ("late", 4.0, 1)}
-    first = {r["social_id"]: r["gross_bookings_usd"] for r in table.read(0).collect()}
+    first = {r["social_id"]: r["gross_bookings_usd"] for r in spark.read.parquet(table.versions()[0][2]).collect()}
     assert first == {"a": 1.0, "b": 5.0}
+
+
+def test_intake_counts_what_it_drops_and_goes_on_without_its_progress(spark, folder):
+    landing = Path(folder) / "landing"
+    landing.mkdir()
+    row = lambda user, money, pais="AR": {
+        "social_id": user, "nro_trip": 1, "transaction_code": "t", "reservation_datetime": dt.date(2024, 1, 1), "product_type": "Vuelos", "pais": pais,
+        "gross_bookings_usd": money,
+    }
+    table = intake.UserTable(spark, f"{folder}/users", keep=1)
+    run = lambda progress: intake.run_intake(
+        intake.export_stream(spark, str(landing), intake.export_schema()), table, f"{folder}/{progress}"
+    ).awaitTermination()
+    export(landing, 2024, 1, [row("a", "n/a"), row("b", 2.0, '"two\nlines"')])
+    with (landing / "final_2024_01.csv").open("a") as out:
+        out.write("x,y\n")
+    run("first")
+    got = {r["social_id"]: r["pais"] for r in table.read().collect()}
+    assert got == {"a": "AR", "b": "two\nlines"} and table.dropped().first()["records"] == 1
+    export(landing, 2024, 2, [row("c", 1.0)])
+    run("second")
+    assert {r["social_id"] for r in table.read().collect()} == {"a", "b", "c"} and len(table.versions()) == 1
+
+
+def test_line_breaks_in_quotes_and_lines_like_the_header(spark, folder):
+    a = put(folder, "x_2024_01.csv", 'social_id,pais\nu1,"A\nB"\nsocial_id,pais\nu2,C,D\n')
+    rows = files.read_drifting_csv(spark, [a])
+    assert {(r["social_id"], r["pais"]) for r in rows.collect()} == {("u1", "A\nB"), ("social_id", "pais")}
+    assert files.read_drifting_csv(spark, [a], keep_corrupt=True, columns=["pais"]).filter(f"{files.CORRUPT} IS NOT NULL").count() == 1

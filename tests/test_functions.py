@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from encore.functions import aggregates as A, buckets, ranking
 from encore.functions.media import CLICK_LABELS, event_taxonomy, media_group
-from encore.functions.places import COVERAGE_REGION_CITIES, DESTINATION_KIND_CITIES, REGION_CITIES, by_code
+from encore.functions.places import COVERAGE_REGION_CITIES, DESTINATION_KIND_CITIES, REGION_CITIES
 from encore.functions.skew import inner_join_hot_keys
 from encore.operators.lookups import lookup
 
@@ -56,12 +56,12 @@ def test_bucket_edges(spark):
 
 
 def test_lookup_tables():
-    assert len(by_code(REGION_CITIES)) == sum(len(v.split()) for v in REGION_CITIES.values())
-    kinds = by_code(DESTINATION_KIND_CITIES)
+    assert len(REGION_CITIES) == 189
+    kinds = DESTINATION_KIND_CITIES
     assert len(kinds) == 192
     assert (kinds["IGU"], kinds["CHI"], kinds["VER"]) == ("CATARATAS", "USA_CA", "CIUDAD_TUR")
-    assert by_code(COVERAGE_REGION_CITIES)["BEL"] == "BR_N"
-    assert by_code(REGION_CITIES)["BEL"] == "BR_NE"
+    assert COVERAGE_REGION_CITIES["BEL"] == "BR_N"
+    assert REGION_CITIES["BEL"] == "BR_NE"
 
 
 def test_lookup_of_a_list(spark):
@@ -107,3 +107,10 @@ def test_hot_keys_give_the_same_join(spark):
     plain = sorted(map(tuple, fact.join(users, "k").collect()), key=repr)
     split = sorted(map(tuple, inner_join_hot_keys(fact, users, "k", hot_rows=10).collect()), key=repr)
     assert split == plain and len(plain) == 52
+
+
+def test_quantiles_leave_out_nan(spark):
+    from encore.functions.ranking import exact_quantiles
+
+    rows = spark.createDataFrame([(x,) for x in (1.0, 2.0, 3.0, 4.0, float("nan"), None)], "x double")
+    assert exact_quantiles(rows, "x", [0.5]).first()["value"] == 2.5

@@ -184,7 +184,7 @@ def test_boosted_trees_save_and_importance(spark, folder):
     assert 0.55 < auc <= 1.0
     flipped = scored.selectExpr("label", "1 - score AS score")
     assert evaluation.roc_auc(flipped).first()["roc_auc"] == pytest.approx(1 - auc)
-    importance = {r["feature"]: r["importance"] for r in propensity.permutation_importance(booster.model, rows, repeats=2).collect()}
+    importance = {r["feature"]: r["importance"] for r in propensity.permutation_importance(propensity.scorer(booster.model), rows, repeats=2).collect()}
     assert max(importance, key=importance.get) == "flg_uso_puntos" and min(importance.values()) >= 0
     kept = propensity.Booster(booster.model, booster.median_account_age, booster.levels, importance)
     propensity.save_model(spark, kept, folder)
@@ -192,7 +192,7 @@ def test_boosted_trees_save_and_importance(spark, folder):
     assert again.importance == pytest.approx(importance) and again.levels == {c: list(v) for c, v in booster.levels.items()}
     same = propensity.predict(again.model, rows).join(scored.select("social_id", scored["score"].alias("old")), "social_id")
     assert same.filter("abs(score - old) > 1e-12").count() == 0
-    dependence = propensity.partial_dependence(booster.model, rows, "flg_uso_puntos").collect()
+    dependence = propensity.partial_dependence(propensity.scorer(booster.model), rows, "flg_uso_puntos").collect()
     assert [r["grid"] for r in dependence] == [0.0, 1.0] and dependence[1]["avg_pred"] > dependence[0]["avg_pred"]
 
 

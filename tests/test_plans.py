@@ -6,7 +6,9 @@ import __spark_entry__ as contract
 from encore.plans.catalog import CATALOG, stages_for
 
 FOLDER = "/root/testdata/sf0.001"
-FITTED = {"logistic_l2", "bootstrap_ci", "boosted_trees", "permutation_importance", "partial_dependence", "save_load_model", "score_audience"}
+FITTED = {
+    "logistic_l2", "bootstrap_ci", "boosted_trees", "permutation_importance", "partial_dependence", "save_load_model", "score_audience",
+}
 
 
 def plan_of(df) -> str:

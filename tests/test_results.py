@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as contract
+from encore.plans import registry
 from tests.compare import database, differences
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLE = registry.queries(), registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
