@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.aggregates import count_if, flag, text_list
+from ..functions.aggregates import count_if, flag, set_size, text_list
 from ..functions.buckets import age_bucket
 from ..functions.media import PATH_LABELS, media_group
-from ..functions.skew import inner_join_hot_keys
 from ..functions.text import blank_to_null, real
 from .trips import visits_in_range
 
@@ -248,8 +247,7 @@ def app_visits(
     visits: DataFrame, users: DataFrame, company: str, pre_days: int = 90, post_days: int = 90
 ) -> DataFrame:
     """App visits of the kept users inside the padded global date range."""
-    rows = _app_rows(visits, users, company, pre_days, post_days)
-    return inner_join_hot_keys(rows, users.select("social_id"), "social_id")
+    return _app_rows(visits, users, company, pre_days, post_days).join(users.select("social_id"), "social_id")
 
 
 def app_behaviour(
@@ -263,17 +261,20 @@ def app_behaviour(
         "entre_trips": (at > first) & (at < second),
         "90d_post_trip1": (at > first) & (at <= first + days(post_days)),
     }
-    measures = []
-    for name, inside in windows.items():
-        measures.append(flag(inside).alias(f"flg_app_{name}"))
-        measures.append(F.countDistinct(F.when(inside, F.col("visit_id"))).alias(f"visitas_app_{name}"))
     dates = users.select("social_id", "fecha_primer_trip", "fecha_segundo_trip")
-    rows = inner_join_hot_keys(_app_rows(visits, users, company, pre_days, post_days), dates, "social_id")
-    seen = rows.groupBy("social_id").agg(
-        *measures,
+    rows = _app_rows(visits, users, company, pre_days, post_days).distinct().join(dates, "social_id")
+    # One row per visit with a mark for each window, then sums: no row is ever copied to count distinct visits.
+    of_visit = rows.groupBy("social_id", "visit_id").agg(
+        *[flag(inside).alias(f"flg_app_{name}") for name, inside in windows.items()],
         F.max(F.when(at < first, at)).alias("ultima_visita_app_antes_trip1"),
         F.max(F.when(at < second, at)).alias("ultima_visita_app_antes_trip2"),
     )
+    seen = of_visit.groupBy("social_id").agg(
+        *[F.max(f"flg_app_{name}").alias(f"flg_app_{name}") for name in windows],
+        *[F.sum(f"flg_app_{name}").alias(f"visitas_app_{name}") for name in windows],
+        F.max("ultima_visita_app_antes_trip1").alias("ultima_visita_app_antes_trip1"),
+        F.max("ultima_visita_app_antes_trip2").alias("ultima_visita_app_antes_trip2"),
+    )
     counters = [c for w in windows for c in (f"flg_app_{w}", f"visitas_app_{w}")]
     return (
         users.select("social_id")
@@ -302,9 +303,9 @@ def payment_methods(payments: DataFrame, instruments: DataFrame, targets: DataFr
     kind = F.col("payment_type")
     card = lambda name: (kind == CREDIT_CARD) & blank_to_null(name).isNotNull()
     totals = _by_code(base).agg(
-        F.countDistinct("payment_method_id").alias("cantidad_pagos"),
-        F.countDistinct("payment_user_id").alias("cantidad_instrumentos_pago"),
-        F.countDistinct("payment_type").alias("cantidad_tipos_pago"),
+        set_size("payment_method_id").alias("cantidad_pagos"),
+        set_size("payment_user_id").alias("cantidad_instrumentos_pago"),
+        set_size("payment_type").alias("cantidad_tipos_pago"),
         text_list("payment_type").alias("metodos_pago"),
         text_list("bank", card("bank")).alias("bancos_tarjeta"),
         text_list("tier", card("tier")).alias("tiers_tarjeta"),

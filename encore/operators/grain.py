@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.aggregates import first_by, last_by
+from ..functions.aggregates import first_by, last_by, set_size
 from ..functions.text import real, whole
 from .trips import MORE_TRIPS
 
@@ -63,7 +63,7 @@ def tx_level(wide: DataFrame) -> DataFrame:
         F.min("reservation_datetime").alias("reservation_datetime"),
         *[early(c).alias(c) for c in TX_EARLIEST_TEXT if c != "nro_trip"],
         early(whole("nro_trip")).alias("nro_trip"),
-        F.countDistinct("product_type").alias("n_product_types"),
+        set_size("product_type").alias("n_product_types"),
         *[early(whole(c)).alias(c) for c in TX_EARLIEST_WHOLE],
         *[early(F.col(c).try_cast("date")).alias(c) for c in TX_EARLIEST_DATE],
         *[last_by(c, *ROW_ORDER).alias(c) for c in TX_LATEST],

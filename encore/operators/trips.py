@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.aggregates import latest, text_list
-from ..functions.skew import inner_join_hot_keys
 
 
 @dataclass(frozen=True)
@@ -185,12 +184,16 @@ def activity_between_trips(visits: DataFrame, users: DataFrame, company: str, bo
     seen = visits_in_range(visits, visit_bounds(users) if bounds is None else bounds, company).select(
         "social_id", "visit_id", "start_visit", "count_search"
     )
-    between = inner_join_hot_keys(seen, repeaters, "social_id").filter(
+    searched = F.sum(F.coalesce("count_search", F.lit(0)))
+    # Rows of one visit at one time are added up before they move; a heavy user's rows can be split by the join.
+    summed = seen.groupBy("social_id", "visit_id", "start_visit").agg(searched.alias("count_search"))
+    between = summed.join(repeaters, "social_id").filter(
         (F.col("start_visit") > F.col("fecha_primer_trip")) & (F.col("start_visit") < F.col("fecha_segundo_trip"))
     )
-    return between.groupBy("social_id").agg(
-        F.countDistinct("visit_id").alias("cantidad_visitas_entre_trips"),
-        F.sum(F.coalesce("count_search", F.lit(0))).alias("cantidad_searches_entre_trips"),
+    of_visit = between.groupBy("social_id", "visit_id").agg(F.sum("count_search").alias("count_search"))
+    return of_visit.groupBy("social_id").agg(
+        F.count(F.lit(1)).alias("cantidad_visitas_entre_trips"),
+        F.sum("count_search").alias("cantidad_searches_entre_trips"),
     )
 
 

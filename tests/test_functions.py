@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from encore.functions import aggregates as A, buckets, ranking
 from encore.functions.media import CLICK_LABELS, event_taxonomy, media_group
 from encore.functions.places import COVERAGE_REGION_CITIES, DESTINATION_KIND_CITIES, REGION_CITIES
-from encore.functions.skew import inner_join_hot_keys
 from encore.operators.lookups import lookup
 
 
@@ -101,14 +100,6 @@ def test_global_row_number(spark):
     assert sorted(r["n"] for r in got) == list(range(1, 7))
 
 
-def test_hot_keys_give_the_same_join(spark):
-    fact = spark.createDataFrame([("hot", i) for i in range(50)] + [("a", 1), ("b", 2), ("none", 3)], "k string, v int")
-    users = spark.createDataFrame([("hot", dt.date(2024, 1, 1)), ("a", dt.date(2024, 2, 1)), ("b", None)], "k string, d date")
-    plain = sorted(map(tuple, fact.join(users, "k").collect()), key=repr)
-    split = sorted(map(tuple, inner_join_hot_keys(fact, users, "k", hot_rows=10).collect()), key=repr)
-    assert split == plain and len(plain) == 52
-
-
 def test_quantiles_leave_out_nan(spark):
     from encore.functions.ranking import exact_quantiles
 
