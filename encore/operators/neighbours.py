@@ -180,7 +180,7 @@ def standardise_on_reference(reference: DataFrame, encoding: Encoding = Encoding
 
 
 SMALL_LEVELS = 100_000
-FEWEST_PIVOTS, MOST_PIVOTS = 32, 512
+FEWEST_PIVOTS = 32
 
 
 @dataclass(frozen=True)
@@ -277,25 +277,78 @@ def _nearest(targets: pd.DataFrame, refs: pd.DataFrame, k: int, axes: int, categ
 
 @dataclass(frozen=True)
 class Blocks:
-    """Sizes of the exact join: pivots to prune with (None: by the number of references), and the most rows a
-    block may hold."""
+    """Sizes of the exact join: pivots to prune with (None: half the root of the number of references), and the most
+    rows a block may hold."""
 
     pivots: int | None = None
     targets: int = 4096
     references: int = 16384
 
 
-def _assign(points: DataFrame, pivots: np.ndarray, axes: int, categories: int) -> DataFrame:
-    """Nearest pivot of each point and the distance to it."""
+SLACK = 1e-6
+
+
+def _assign(points: DataFrame, pivots: np.ndarray, axes: int, categories: int, k: int) -> DataFrame:
+    """Nearest pivot of each point, the distance to it, and to the k-th nearest pivot.
+
+    Pivots are references, so a target's k nearest references are no farther than its k nearest pivots.
+    """
     width = axes + 2 * categories
 
-    @F.pandas_udf("struct<cell int, away double>")
+    @F.pandas_udf("struct<cell int, away double, bound double>")
     def nearest(v: pd.Series) -> pd.DataFrame:
         d = _squared(_matrix(v, width), pivots, axes, categories)
         cell = d.argmin(axis=1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "away": np.sqrt(d[np.arange(len(d)), cell])})
+        bound = np.sqrt(np.partition(d, k - 1, axis=1)[:, k - 1]) if d.shape[1] >= k else np.full(len(d), np.inf)
+        return pd.DataFrame({"cell": cell.astype("int32"), "away": np.sqrt(d[np.arange(len(d)), cell]), "bound": bound})
+
+    return points.withColumn("_p", nearest("v")).select("id", "v", "_p.cell", "_p.away", "_p.bound")
+
+
+def _routes(asks: DataFrame, pivots: np.ndarray, far: np.ndarray, axes: int, categories: int) -> DataFrame:
+    """(to, id, v): every target with each cell but its own that may hold a reference within its bound.
+
+    A reference of a cell is at least as far as the pivot is, less the cell's radius; and being nearer to its own pivot
+    than to the target's, at least half the difference of the two pivots' distances.
+    """
+    width = axes + 2 * categories
+
+    @F.pandas_udf("array<int>")
+    def cells(v: pd.Series, cell: pd.Series, bound: pd.Series) -> pd.Series:
+        d = np.sqrt(_squared(_matrix(v, width), pivots, axes, categories))
+        own, limit = cell.to_numpy(), bound.to_numpy()[:, None] + SLACK
+        home = d[np.arange(len(d)), own][:, None]
+        near = (d - far[None, :] <= limit) & ((d - home) / 2 <= limit)
+        near[np.arange(len(d)), own] = False
+        return pd.Series([np.flatnonzero(row).astype("int32") for row in near])
+
+    return asks.select(F.explode(cells("v", "cell", "bound")).alias("to"), "id", "v")
+
+
+def _searched(asks: DataFrame, refs: DataFrame, held: dict[int, int], axes: int, categories: int, k: int, blocks: Blocks) -> DataFrame:
+    """The k nearest references of each asked target (to, id, v) within the cell it is sent to, block by block."""
+    spark = asks.sparkSession
+    asked = {row["to"]: row["n"] for row in asks.groupBy("to").agg(F.count(F.lit(1)).alias("n")).collect()}
+    plan = [(c, -(-n // blocks.targets), -(-held[c] // blocks.references)) for c, n in asked.items() if c in held]
+    # One row per pivot at most, so this table is safe to broadcast.
+    cuts = F.broadcast(spark.createDataFrame(plan, "to int, ask_cuts int, ref_cuts int"))
+    cut = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    all_cuts = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = asks.join(cuts, "to").select("to", cut(F.col("ask_cuts")).alias("a"), all_cuts(F.col("ref_cuts")).alias("r"), "id", "v")
+    right = refs.withColumnRenamed("cell", "to").join(cuts, "to").select(
+        "to", cut(F.col("ref_cuts")).alias("r"), all_cuts(F.col("ask_cuts")).alias("a"), "id", "v"
+    )
+
+    def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        return _nearest(asked, held, k, axes, categories)
+
+    block = ["to", "a", "r"]
+    return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(search, "id string, vecino string, distancia double")
+
 
-    return points.withColumn("_p", nearest("v")).select("id", "v", "_p.cell", "_p.away")
+def _best(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("id").orderBy("distancia", "vecino")
+    return found.withColumn("puesto", F.row_number().over(best)).filter(F.col("puesto") <= k)
 
 
 def knn_join(
@@ -303,66 +356,38 @@ def knn_join(
 ) -> DataFrame:
     """Exact k nearest references of every target: (id, vecino, distancia, puesto), ties by reference id.
 
-    Both inputs are (id, v) as made by :func:`scaled_points`. Of references with the same point only the k
-    lowest ids are kept: the tie rule puts them before the others at any distance.
+    Both inputs are (id, v) as made by :func:`scaled_points`. Equal target points are searched once. Each searches its
+    own cell first; the distance found there decides which other cells it is sent to, target by target. Of references
+    with the same point only the k lowest ids are kept: the tie rule puts them before the others at any distance.
     """
-    spark = targets.sparkSession
     same_point = Window.partitionBy("v").orderBy("id")
     references = references.withColumn("_copy", F.row_number().over(same_point)).filter(F.col("_copy") <= k).drop("_copy")
     references = written(references, "knn-references")
-    wanted = blocks.pivots or min(MOST_PIVOTS, max(FEWEST_PIVOTS, math.isqrt(references.count()) // 2))
+    wanted = blocks.pivots or max(FEWEST_PIVOTS, math.isqrt(references.count()) // 2)
     chosen = references.orderBy(seeded_hash("id", 7), "id").limit(wanted).collect()
     if not chosen:
         return targets.select("id").limit(0).selectExpr("id", "id AS vecino", "0D AS distancia", "1 AS puesto")
     pivots = np.array([row["v"] for row in chosen])
-    refs = written(_assign(references, pivots, axes, categories), "knn-reference-cells")
-    asks = written(_assign(targets, pivots, axes, categories), "knn-target-cells")
-
-    # Per-cell figures: at most pivots x k rows reach the driver.
-    close = Window.partitionBy("cell").orderBy("away")
-    head = refs.select("cell", "away").withColumn("_n", F.row_number().over(close)).filter(F.col("_n") <= k).collect()
-    ref_cells = {r["cell"]: r for r in refs.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("far")).collect()}
-    ask_cells = {r["cell"]: r for r in asks.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("far")).collect()}
-    between = np.sqrt(_squared(pivots, pivots, axes, categories))
-
-    slack = 1e-6
-    routes, ask_plan = [], []
-    for i, asked in ask_cells.items():
-        reach = sorted(asked["far"] + between[i][r["cell"]] + r["away"] for r in head)
-        bound = reach[k - 1] if len(reach) >= k else math.inf
-        near = []
-        for j, held in ref_cells.items():
-            low = between[i][j] - asked["far"] - bound - slack
-            high = between[i][j] + asked["far"] + bound + slack
-            if low <= held["far"]:
-                near.append((j, float(low), float(high), held["n"]))
-        ask_cuts = math.ceil(asked["n"] / blocks.targets)
-        ref_cuts = math.ceil(sum(n for *_, n in near) / blocks.references)
-        ask_plan.append((i, ask_cuts, ref_cuts))
-        routes += [(j, i, low, high, ask_cuts, ref_cuts) for j, low, high, _ in near]
-    # pivots^2 rows at most, so both plans are safe to broadcast.
-    route_table = spark.createDataFrame(routes, "cell int, to int, low double, high double, ask_cuts int, ref_cuts int")
-    ask_table = spark.createDataFrame(ask_plan, "cell int, ask_cuts int, ref_cuts int")
-    cut = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    all_cuts = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = asks.join(F.broadcast(ask_table), "cell").select(
-        F.col("cell").alias("to"), cut(F.col("ask_cuts")).alias("a"), all_cuts(F.col("ref_cuts")).alias("r"), "id", "v"
-    )
-    right = (
-        refs.join(F.broadcast(route_table), "cell")
-        .filter(F.col("away").between(F.col("low"), F.col("high")))
-        .select("to", cut(F.col("ref_cuts")).alias("r"), all_cuts(F.col("ask_cuts")).alias("a"), "id", "v")
-    )
-
-    def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        return _nearest(asked, held, k, axes, categories)
-
-    block = ["to", "a", "r"]
-    partial = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(
-        search, "id string, vecino string, distancia double"
-    )
-    best = Window.partitionBy("id").orderBy("distancia", "vecino")
-    return partial.withColumn("puesto", F.row_number().over(best)).filter(F.col("puesto") <= k)
+    refs = written(_assign(references, pivots, axes, categories, k).select("id", "v", "cell", "away"), "knn-reference-cells")
+    points = targets.groupBy("v").agg(F.min("id").alias("id"))
+    asks = written(_assign(points, pivots, axes, categories, k), "knn-target-cells")
+
+    # One row per pivot: this reaches the driver.
+    cells = refs.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("far")).collect()
+    held = {row["cell"]: row["n"] for row in cells}
+    far = np.full(len(pivots), -np.inf)
+    for row in cells:
+        far[row["cell"]] = row["far"]
+
+    own = _searched(asks.select(F.col("cell").alias("to"), "id", "v"), refs, held, axes, categories, k, blocks)
+    own = written(_best(own, k), "knn-own-cells")
+    reached = own.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("distancia").alias("d")).filter(F.col("n") == k)
+    tight = asks.join(reached, "id", "left").withColumn("bound", F.least("bound", "d")).select("id", "v", "cell", "bound")
+    sent = written(_routes(tight, pivots, far, axes, categories), "knn-routes")
+    other = _searched(sent, refs, held, axes, categories, k, blocks)
+    best = _best(own.drop("puesto").unionByName(other), k).withColumnRenamed("id", "point")
+    users = targets.join(asks.select("v", F.col("id").alias("point")), "v").select("id", "point")
+    return users.join(best, "point").select("id", "vecino", "distancia", "puesto")
 
 
 def nearest_users(
