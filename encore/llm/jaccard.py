@@ -16,10 +16,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import scan
 from .components import components
-from .frames import BINARY, BOOL, INT, LONG, column, field, map_batches, map_texts, written
+from .frames import BINARY, BOOL, INT, LONG, column, field, map_batches, written
 
 WIDTH = 5
 PERCENT = 80
@@ -65,34 +66,47 @@ def _all_sets(texts: pa.Array, width: int):
 
 
 def profiles(documents: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n_shingles, k1, k2): size of each document's set, and a 128-bit key that equal sets share."""
-    salt = np.uint64(0xA0761D6478BD642F)
-
-    def work(texts: pa.Array) -> list:
-        sizes, first, second = [], [], []
-        for keys in _all_sets(texts, width):
-            sizes.append(len(keys))
-            first.append(int(scan.mix(keys).sum(dtype=np.uint64).view(np.int64)) if len(keys) else 0)
-            second.append(int(scan.mix(keys ^ salt).sum(dtype=np.uint64).view(np.int64)) if len(keys) else 0)
-        return [pa.array(x, pa.int64()) for x in (sizes, first, second)]
-
-    fields = [field("n_shingles", LONG), field("k1", LONG), field("k2", LONG)]
-    return map_texts(documents, [id_col], text_col, fields, lambda: work)
+    """One pass over all texts with two kinds of rows.
 
+    (id, n_shingles, k1, k2) has the size of a document's set and a 128-bit key that equal sets share. (part, counts) is
+    a part of a task's sketch: counts of n-grams by the low bits of their keys, in a fixed number of counters.
+    """
+    salt = np.uint64(0xA0761D6478BD642F)
+    schema = T.StructType(
+        [
+            T.StructField("id", documents.schema[id_col].dataType), field("n_shingles", LONG), field("k1", LONG), field("k2", LONG),
+            field("part", INT), field("counts", BINARY),
+        ]
+    )
+    kind = to_arrow_schema(schema).field("id").type
 
-def sketch(documents: DataFrame, text_col: str, width: int) -> np.ndarray:
-    """Counts of n-grams over all documents by the low bits of their keys. 8 MB, whatever the data."""
-    schema = T.StructType([field("part", INT), field("counts", BINARY)])
-
-    def count(batches):
+    def run(batches):
         seen = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for _, data, offsets in scan.blocks(batch.column(0)):
+            sizes, first, second = [], [], []
+            for _, data, offsets in scan.blocks(batch.column(1)):
                 sets = sets_of(data, offsets, width)
-                at = np.concatenate(sets) & np.uint64(COUNTERS - 1) if sets else np.zeros(0, np.uint64)
-                np.add.at(seen, at, 1) if len(at) < 50_000 else np.add(seen, np.bincount(at.astype(np.int64), minlength=COUNTERS), out=seen)
-        parts = seen.reshape(-1, _PART)
-        yield [pa.array(np.arange(len(parts))), pa.array([p.tobytes() for p in parts], pa.binary())]
+                for keys in sets:
+                    sizes.append(len(keys))
+                    first.append(int(scan.mix(keys).sum(dtype=np.uint64).view(np.int64)) if len(keys) else 0)
+                    second.append(int(scan.mix(keys ^ salt).sum(dtype=np.uint64).view(np.int64)) if len(keys) else 0)
+                at = (np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64)
+                if len(at) < 50_000:
+                    np.add.at(seen, at, 1)
+                else:
+                    seen += np.bincount(at, minlength=COUNTERS)
+            none = len(sizes)
+            yield [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, first, second)), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())]
+        parts = [p.tobytes() for p in seen.reshape(-1, _PART)]
+        none = len(parts)
+        yield [pa.nulls(none, kind), *[pa.nulls(none, pa.int64())] * 3, pa.array(np.arange(none)), pa.array(parts, pa.binary())]
+
+    return map_batches(documents.select(column(id_col), column(text_col).cast("string")), schema, run)
+
+
+def sketch(profiled: DataFrame) -> np.ndarray:
+    """The tasks' sketches added up. 8 MB, whatever the data; no task holds more than its parts of the sum."""
+    schema = T.StructType([field("part", INT), field("counts", BINARY)])
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -103,7 +117,7 @@ def sketch(documents: DataFrame, text_col: str, width: int) -> np.ndarray:
         if total:
             yield [pa.array(list(total)), pa.array([c.tobytes() for c in total.values()], pa.binary())]
 
-    counted = map_batches(documents.select(column(text_col).cast("string")), schema, count)
+    counted = profiled.filter("part IS NOT NULL").select("part", "counts")
     summed = map_batches(counted.repartition(COUNTERS // _PART // 4, "part"), schema, add)
     out = np.zeros((COUNTERS // _PART, _PART), np.int64)
     for row in summed.collect():
@@ -133,7 +147,7 @@ def prefixes(documents: DataFrame, id_col: str, text_col: str, counts: np.ndarra
             for i, mine in enumerate(_all_sets(batch.column(1), rule.width)):
                 if not len(mine):
                     continue
-                order = np.lexsort((mine, counts[mine & np.uint64(COUNTERS - 1)]))
+                order = np.argsort(counts[mine & np.uint64(COUNTERS - 1)], kind="stable")
                 head = mine[order[: rule.prefix(len(mine))]]
                 owner.append(np.full(len(head), i)), keys.append(head)
                 sizes.append(np.full(len(head), len(mine), np.int32)), places.append(np.arange(len(head), dtype=np.int32))
@@ -238,11 +252,12 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     empty table gives an empty result. Links, components and n-grams stay in tables in the shared folder.
     """
     kind = documents.schema[id_col].dataType
-    seen = written(profiles(documents, id_col, text_col, rule.width).withColumnRenamed(id_col, "id"), "profiles")
+    profiled = written(profiles(documents, id_col, text_col, rule.width), "profiles")
+    seen = profiled.filter("part IS NULL").select("id", *_SET)
     filled = seen.filter("n_shingles > 0 AND id IS NOT NULL")
     smallest = written(filled.groupBy(*_SET).agg(F.min("id").alias("set_id")), "sets")
 
-    spread = prefixes(documents, id_col, text_col, sketch(documents, text_col, rule.width), rule)
+    spread = prefixes(documents, id_col, text_col, sketch(profiled), rule)
     several = spread.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key")
     shared = written(spread.join(several, "key"), "shared-prefixes")
     heads = shared.join(smallest.select(F.col("set_id").alias("id")).distinct(), "id", "left_semi")
