@@ -31,6 +31,8 @@ LEAST_BYTES = 100
 PACKAGE_BYTES = 48 << 20
 #: Compressed bytes of neighbouring records that one row of work reads.
 RANGE_BYTES = 4 << 20
+#: Compressed bytes that one task reads.
+TASK_BYTES = 16 << 20
 
 
 # Records ------------------------------------------------------------------------------------------------------------
@@ -187,8 +189,8 @@ def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
 
 
 def write_packages(rows: DataFrame, folder: str, most_bytes: int = PACKAGE_BYTES) -> DataFrame:
-    """Writes packages of bounded size and returns (package, records). Names are new for every attempt of a task."""
-    schema = T.StructType([field("package", TEXT), field("records", LONG)])
+    """Writes packages of bounded size and returns (package, records, bytes). Names are new for every attempt of a task."""
+    schema = T.StructType([field("package", TEXT), field("records", LONG), field("bytes", LONG)])
 
     def run(batches):
         store, root = open_store(folder)
@@ -196,9 +198,10 @@ def write_packages(rows: DataFrame, folder: str, most_bytes: int = PACKAGE_BYTES
 
         def close(package: Package) -> list:
             name = f"{uuid.uuid4().hex}.wacz"
+            raw = package.to_bytes()
             with store.open_output_stream(f"{root}/{name}") as out:
-                out.write(package.to_bytes())
-            return [pa.array([name]), pa.array([len(package.lines)])]
+                out.write(raw)
+            return [pa.array([name]), pa.array([len(package.lines)]), pa.array([len(raw)])]
 
         package = Package()
         for batch in batches:
@@ -238,10 +241,11 @@ def record_places(packages: DataFrame, folder: str) -> DataFrame:
     return map_batches(packages.select("package"), schema, run)
 
 
-def read_records(places: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
+def read_records(places: DataFrame, folder: str, with_payload: bool = True, tasks: int = 1) -> DataFrame:
     """(page, url, payload_bytes, payload_digest, record_type, refers_to and, if asked for, payload) of every record.
 
-    Records are read by byte range. The digest and size of a response are those of the payload that was read; a revisit
+    Records are read by byte range, neighbours by the same of ``tasks`` tasks: index rows are small, what they point to is
+    not, so their number is given. The digest and size of a response are those of the payload that was read; a revisit
     states them in its header fields.
     """
     names = [
@@ -276,7 +280,7 @@ def read_records(places: DataFrame, folder: str, with_payload: bool = True) -> D
             if rows:
                 yield list(zip(*rows, strict=True))[: len(names)]
 
-    dealt = places.repartition("package", "part").sortWithinPartitions("package", "place")
+    dealt = places.repartition(tasks, "package", "part").sortWithinPartitions("package", "place")
     return map_batches(dealt, T.StructType(names), run)
 
 
@@ -292,7 +296,8 @@ def archive(
     """
     folder = folder or shared_folder(pages.sparkSession, "packages")
     packages = written(write_packages(with_revisits(pages, id_col, url_col, html_col), folder), "package-list")
-    found = read_records(record_places(packages, folder), folder, with_payload)
+    size = packages.agg(F.sum("bytes")).first()[0] or 0
+    found = read_records(record_places(packages, folder), folder, with_payload, max(1, -(-size // TASK_BYTES)))
     kind = pages.schema[id_col].dataType
     return found.select(
         F.col("page").cast(kind).alias(id_col), "url", "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"),
