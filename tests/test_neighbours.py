@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from encore.operators import neighbours as N
 
@@ -118,3 +119,25 @@ def test_unknown_levels_are_reported(spark):
     ask, pdf = users(spark, 50, 2)
     got = {(r["variable"], r["valor"]): r["n"] for r in N.unknown_levels(ask, ENCODING.ordinals).collect()}
     assert got == {("income", "odd"): int((pdf["income"] == "odd").sum())}
+
+
+def test_targets_are_sent_to_few_cells(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 20, (40, 3))
+    draw = lambda n: [(f"{i:05d}", [float(x) for x in centres[i % 40] + rng.normal(0, 1, 3)]) for i in range(n)]
+    references, targets = draw(1200), draw(400)
+    pivots = np.array([v for _, v in references[:40]])
+    table = lambda rows: spark.createDataFrame(rows, "id string, v array<double>")
+    held = N._assign(table(references), pivots, 3, 0, 5).toPandas()
+    far = np.full(len(pivots), -np.inf)
+    for cell, away in held.groupby("cell")["away"].max().items():
+        far[cell] = away
+    # With the distances of the own cells as bounds, most targets need no other cell.
+    d = np.sqrt(((np.array([v for _, v in targets])[:, None] - np.array([v for _, v in references])[None]) ** 2).sum(2))
+    bound = pd.DataFrame({"id": [i for i, _ in targets], "d": np.sort(d, axis=1)[:, 4]})
+    asks = N._assign(table(targets), pivots, 3, 0, 5).drop("bound").join(spark.createDataFrame(bound).withColumnRenamed("d", "bound"), "id")
+    assert N._routes(asks, pivots, far, 3, 0).count() < len(targets)
+    exact = N.knn_join(table(targets), table(references), 3, 0, 5)
+    got = {r["id"]: sorted(x["d"] for x in r["all"]) for r in exact.groupBy("id").agg(F.collect_list(F.struct(F.col("distancia").alias("d"))).alias("all")).collect()}
+    for (i, _), row in zip(targets, np.sort(d, axis=1)[:, :5], strict=True):
+        assert got[i] == pytest.approx(list(np.round(row, 9)))

@@ -46,3 +46,14 @@ def test_visits_are_cut_by_literal_dates(spark):
 
 def test_shared_tables_are_written_once(spark):
     assert stages_for(spark, FOLDER) is stages_for(spark, FOLDER + "/")
+
+
+def test_visits_are_read_once_each_and_no_row_is_copied(spark):
+    plan = plan_of(contract.queries()["app_behaviour"](spark, FOLDER))
+    assert "Expand" not in plan and plan.count("events.parquet") <= 1
+    assert "Expand" not in plan_of(contract.queries()["payment_methods"](spark, FOLDER))
+
+
+def test_the_mart_reads_its_rows_once_for_all_dictionaries(spark):
+    plan = plan_of(contract.queries()["recommendation_mart"](spark, FOLDER))
+    assert plan.count("Exchange hashpartitioning") <= 2 and "Window" not in plan
