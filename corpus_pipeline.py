@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from encore.llm import bands, decontam, jaccard, mil, packing
-from encore.llm.frames import shared_folder
+from encore.llm.frames import remove, shared_folder
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,13 +50,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of the last stage over the documents of a folder; each stage is written and read again as the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for number, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if number + 1 == len(STAGES):
-            return out
-        folder = shared_folder(spark, f"stage-{number + 1}")
-        out.write.parquet(folder)
-        docs = spark.read.parquet(folder)
-    return docs
+    """The result of the last stage over the documents of a folder.
+
+    Each stage is written, and read again as the next one's input; what the stage before wrote is removed then.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        folder = shared_folder(spark, "stage")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        if last is not None:
+            remove(spark, last)
+        docs, last = spark.read.parquet(folder), folder
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import scan
 from .components import components
-from .frames import BINARY, BOOL, INT, LONG, column, field, map_batches, written
+from .frames import BINARY, BOOL, INT, LONG, column, field, map_batches, remove, shared_folder, written
 
 WIDTH = 5
 PERCENT = 80
@@ -249,7 +249,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     Words are runs without white space, A-Z folded; a text with fewer words than an n-gram is one n-gram as a whole.
     Null, empty and blank texts have no n-grams and link with nothing; documents with a null id have no component. Rows
     that repeat an id are one document with the n-grams of each of its texts linking. Other columns are not read. An
-    empty table gives an empty result. Links, components and n-grams stay in tables in the shared folder.
+    empty table gives an empty result. Links, components and n-grams stay in tables in the shared folder; those that the
+    result does not read are removed.
     """
     kind = documents.schema[id_col].dataType
     profiled = written(profiles(documents, id_col, text_col, rule.width), "profiles")
@@ -259,24 +260,27 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     spread = prefixes(documents, id_col, text_col, sketch(profiled), rule)
     several = spread.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("key")
-    shared = written(spread.join(several, "key"), "shared-prefixes")
+    spark, scratch = documents.sparkSession, shared_folder(documents.sparkSession, "join")
+    shared = written(spread.join(several, "key"), "shared-prefixes", f"{scratch}/shared")
     heads = shared.join(smallest.select(F.col("set_id").alias("id")).distinct(), "id", "left_semi")
     centres = heads.groupBy("key").agg(F.min(F.struct("id", "n", "at")).alias("centre"), F.max("id").alias("high"))
-    heads = written(heads.join(centres.filter("centre.id <> high").drop("high"), "key"), "prefix-heads")
+    heads = written(heads.join(centres.filter("centre.id <> high").drop("high"), "key"), "prefix-heads", f"{scratch}/heads")
+    remove(spark, f"{scratch}/shared")
 
     some = heads.select("id").distinct()
     texts = documents.select(column(id_col).cast(kind).alias("id"), column(text_col).cast("string").alias("text"))
-    texts = written(texts.join(some, "id", "left_semi"), "pair-texts")
-    first = written(verified(star_pairs(heads, rule), texts, rule), "star-links")
+    texts = written(texts.join(some, "id", "left_semi"), "pair-texts", f"{scratch}/texts")
+    first = written(verified(star_pairs(heads, rule), texts, rule), "star-links", f"{scratch}/first")
     near = components(first.filter("linked"), "star-components")
 
     apart = heads.join(near, "id", "left").withColumn("component", F.coalesce("component", "id"))
     tried = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     fresh = cross_pairs(apart, rule).join(tried, ["a", "b"], "left_anti")
-    second = written(verified(fresh, texts, rule), "cross-links")
+    second = written(verified(fresh, texts, rule), "cross-links", f"{scratch}/second")
     links = first.unionByName(second).filter("linked").select("a", "b").unionByName(_same_id(filled, smallest))
-    of_sets = components(links)
-    named = smallest.join(of_sets.withColumnRenamed("id", "set_id"), "set_id", "left")
+    of_sets = components(links).withColumnRenamed("id", "set_id")
+    remove(spark, scratch)
+    named = smallest.join(of_sets, "set_id", "left")
     named = named.select(*_SET, F.coalesce("component", "set_id").alias("component_id"))
     return seen.join(named, _SET, "left").select(
         F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id")
