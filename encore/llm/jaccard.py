@@ -305,12 +305,14 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stays are copies of it too, and one of them stays.
     """
     found = near_duplicates(documents, id_col, text_col, rule)
-    gone = found.filter(column(id_col) != F.col("component_id")).select(column(id_col)).distinct()
+    gone = written(found.filter(column(id_col) != F.col("component_id")).select(column(id_col)).distinct(), "copies")
     names = documents.columns
     kept = documents.join(gone, id_col, "left_anti").select(*[column(c) for c in names])
-    several = kept.groupBy(column(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND id IS NOT NULL")
-    twice = several.select(F.col("id").alias(id_col))
+    counted = documents.groupBy(column(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    twice = written(counted.filter("n > 1 AND id IS NOT NULL").select(F.col("id").alias(id_col)), "repeated-ids")
+    if not twice.count():
+        return kept
+    blank = F.trim(F.coalesce(column(text_col).cast("string"), F.lit(""))) == ""
     single = kept.join(twice, id_col, "left_anti").select(*[column(c) for c in names])
-    again = kept.join(twice, id_col, "left_semi").filter(F.trim(F.coalesce(column(text_col).cast("string"), F.lit(""))) != "").dropDuplicates([id_col])
-    blank = kept.join(twice, id_col, "left_semi").filter(F.trim(F.coalesce(column(text_col).cast("string"), F.lit(""))) == "")
-    return single.unionByName(again.select(*single.columns)).unionByName(blank.select(*single.columns))
+    repeated = kept.join(twice, id_col, "left_semi").select(*[column(c) for c in names])
+    return single.unionByName(repeated.filter(~blank).dropDuplicates([id_col])).unionByName(repeated.filter(blank))
