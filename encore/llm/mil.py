@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import scan
-from .frames import DOUBLE, LONG, column, field, keep_rows, map_texts
+from .frames import DOUBLE, LONG, column, field, keep_rows, map_batches, map_texts
 from .labelled import fit_rows, held_out
 
 ENDS = b".!?\n"
 #: Bytes of a word's stem.
 STEM = 4
 THRESHOLD = 0.5
+#: Score of a sentence, before the logistic, in a model without words.
+NOTHING = -30.0
 _SENTENCES = T.ArrayType(T.StructType([field("start", LONG), field("end", LONG), field("score", DOUBLE)]))
 
 
@@ -116,7 +118,7 @@ def _vocabulary(texts: pa.Array, labels: np.ndarray, how: Fit) -> np.ndarray:
 def fit(texts: pa.Array, labels: np.ndarray, how: Fit = Fit()) -> Model:
     """Words are chosen by how unevenly they fall on the two labels; weights and bias by gradient descent on noisy-or."""
     labels = np.asarray(labels, float)
-    none = Model(np.zeros(0, np.uint64), np.zeros(0), -30.0)
+    none = Model(np.zeros(0, np.uint64), np.zeros(0), NOTHING)
     if not len(labels) or labels.min() == labels.max():
         return none
     vocabulary = _vocabulary(texts, labels, how)
@@ -200,9 +202,25 @@ class Scorer:
 def train(
     documents: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", how: Fit = Fit()
 ) -> Model:
-    """A model from labelled documents that are not held out. Without both labels it finds nothing toxic."""
-    rows = fit_rows(documents, labels, label, id_col, text_col, how.most_rows, how.most_bytes).toArrow()
-    return fit(rows.column("text").combine_chunks(), rows.column("label").to_numpy(), how)
+    """A model from labelled documents that are not held out. Without both labels it finds nothing toxic.
+
+    One task fits it, on the bounded sample; what comes back to the driver are the model's words and weights.
+    """
+    rows = fit_rows(documents, labels, label, id_col, text_col, how.most_rows, how.most_bytes).coalesce(1)
+
+    def run(batches):
+        parts = list(batches)
+        if not parts:
+            return
+        texts = pa.concat_arrays([p.column(0) for p in parts])
+        model = fit(texts, np.concatenate([p.column(1).to_numpy(zero_copy_only=False) for p in parts]), how)
+        yield [pa.array([*model.keys.view(np.int64).tolist(), None], pa.int64()), pa.array([*model.weights.tolist(), model.bias])]
+
+    found = map_batches(rows, T.StructType([field("key", LONG), field("weight", DOUBLE)]), run).toArrow()
+    if not found.num_rows:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), NOTHING)
+    keys, weights = found.column("key").to_pylist(), found.column("weight").to_numpy()
+    return Model(np.array(keys[:-1], np.int64).view(np.uint64), weights[:-1], float(weights[-1]))
 
 
 def toxicity(
