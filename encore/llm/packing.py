@@ -44,7 +44,7 @@ def pieces(
     last = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        encode = encoder(path)
+        encode = encoder(path, literal=False)
         for whole in batches:
             for low in range(0, whole.num_rows, _TEXTS):
                 batch = whole.slice(low, _TEXTS)

@@ -33,7 +33,7 @@ def write_flat(documents: DataFrame, id_col: str, text_col: str, folder: str, pa
     kind, last = f"<u{width}", np.array([end], f"<u{width}").tobytes()
 
     def run(batches):
-        encode, (store, root) = encoder(path), open_store(folder)
+        encode, (store, root) = encoder(path, literal=True), open_store(folder)
         store.create_dir(root, recursive=True)
         name, done = f"{root}/{uuid.uuid4().hex}.tokens", 0
         with store.open_output_stream(name) as out:

@@ -26,14 +26,20 @@ def default_path() -> str:
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes. ``most_words`` bounds the memory of words."""
+    """Ids of texts as little-endian unsigned 32-bit bytes. ``most_words`` bounds the memory of words.
 
-    def __init__(self, path: str, most_words: int = 1_000_000):
+    With ``literal``, special tokens that stand in a text are read as plain characters; without it they become their own
+    ids, as the library does by default. Texts that hold such tokens are always tokenized whole.
+    """
+
+    def __init__(self, path: str, most_words: int = 1_000_000, literal: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.whole = [t.content for t in added if not (literal and t.special)]
         self.most_words = most_words
         #: By part: one that follows a blank, without it; or a line break with what follows.
         self.known: dict[str, bytes] = {}
@@ -96,6 +102,9 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
+            if any(t in text for t in self.whole):
+                out[i] = self.plain([text])[0]
+                continue
             if len(text.split()) == text.count(" ") + text.count("\n") + 1:
                 head, *rest = text.replace("\n", " \n").split(" ")
             else:
@@ -121,6 +130,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, literal: bool) -> Encoder:
     """One encoder for a Python worker, so that later tasks find the words of earlier ones."""
-    return Encoder(path)
+    return Encoder(path, literal=literal)

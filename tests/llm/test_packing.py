@@ -74,3 +74,11 @@ def test_empty_and_repeated(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     same = packing.pack(spark.createDataFrame([(1, "same")] * 5, "doc_id long, text string")).collect()
     assert len(same) == 5 and len({(r["sequence_id"], r["offset"]) for r in same}) == 5
+
+
+def test_special_tokens_keep_the_ids_of_the_library(spark):
+    plain = Tokenizer.from_file(default_path())
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a.<|endoftext|>b  c\n<|endoftext|>\n d", "x y"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: bytes(r["ids"]) for r in packing.pack(table, with_ids=True).collect()}
+    assert found == {i: np.array([*plain.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for i, t in enumerate(texts)}
