@@ -15,6 +15,8 @@ from itertools import islice
 import numpy as np
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: White space that is neither a blank nor a line break, or has white space or the end behind it.
+_UNEVEN = re.compile(r"\s(?:(?<=[^ \n])|(?=\s|\Z))")
 _AFTER = "!#$%&*+,-./:;<=>?@^_|~"
 _LATIN = "ɐ"
 
@@ -105,7 +107,7 @@ class Encoder:
             if any(t in text for t in self.whole):
                 out[i] = self.plain([text])[0]
                 continue
-            if len(text.split()) == text.count(" ") + text.count("\n") + 1:
+            if not text[0].isspace() and _UNEVEN.search(text) is None:
                 head, *rest = text.replace("\n", " \n").split(" ")
             else:
                 head, *rest = _CUT.split(text)

@@ -47,3 +47,9 @@ def test_encoder_gives_the_tokenizers_ids(text):
     encoder = Encoder(default_path(), most_words=3)
     for texts in ([text, "some words, some more."], [text]):
         assert encoder(texts) == encoder.plain(texts)
+
+
+@pytest.mark.parametrize("text", ["Title\n\n\nName\tAge\tCity", "a   b\tc\td", "a\u00a0b\u00a0c\n\n\nd", "if x:\n\treturn\n\n\n\ty   z", "a \n b\tc\x0bd"])
+def test_tabs_do_not_hide_runs_of_white_space(text):
+    encoder = Encoder(default_path())
+    assert encoder([text]) == encoder.plain([text])
