@@ -1,7 +1,9 @@
 """Toxicity by multiple-instance learning: only documents are labelled, but sentences offend.
 
 A sentence's score is logistic in its words and their stems; a document's score is the noisy-or of its sentences. Both are trained
-together from document labels, so the model also points at the sentences that offend.
+together from document labels, so the model also points at the sentences that offend. A sentence without any word of the model
+has probability 0, in the fit and in scores, and so has one that scores no higher than ``BACKGROUND``: neither length nor many
+harmless uses of the model's words make a document toxic.
 """
 
 from __future__ import annotations
@@ -20,14 +22,16 @@ ENDS = b".!?\n"
 #: Bytes of a word's stem.
 STEM = 4
 THRESHOLD = 0.5
-#: Score of a sentence, before the logistic, in a model without words.
+#: Bias of a model without words.
 NOTHING = -30.0
+#: Probability that a sentence's words must exceed to count; what lies above is stretched to reach 1 again.
+BACKGROUND = 0.05
 _SENTENCES = T.ArrayType(T.StructType([field("start", LONG), field("end", LONG), field("score", DOUBLE)]))
 
 
 @dataclass(frozen=True)
 class Model:
-    """Sorted word keys with their weights, and the score of a sentence without any of them."""
+    """Sorted word keys with their weights, and what is added to them in a sentence that has any."""
 
     keys: np.ndarray
     weights: np.ndarray
@@ -124,10 +128,9 @@ def fit(texts: pa.Array, labels: np.ndarray, how: Fit = Fit()) -> Model:
     vocabulary = _vocabulary(texts, labels, how)
     if not len(vocabulary):
         return none
-    hits, owners, sizes, base = [], [], np.zeros(len(labels), np.int64), 0
+    hits, owners, base = [], [], 0
     for first, data, offsets in scan.blocks(texts):
         s = sentences(data, offsets)
-        sizes[first : first + len(offsets) - 1] = np.bincount(s.doc, minlength=len(offsets) - 1)
         hits.append(_hits(vocabulary, s) + base * len(vocabulary))
         owners.append(s.doc + first)
         base += len(s.doc)
@@ -135,7 +138,6 @@ def fit(texts: pa.Array, labels: np.ndarray, how: Fit = Fit()) -> Model:
     where, what = hit // len(vocabulary), hit % len(vocabulary)
     lit, row = np.unique(where, return_inverse=True)
     lit_owner = owner[lit]
-    quiet = sizes - np.bincount(lit_owner, minlength=len(labels))
 
     theta = np.zeros(len(vocabulary) + 1)
     theta[-1] = -6.0
@@ -143,14 +145,14 @@ def fit(texts: pa.Array, labels: np.ndarray, how: Fit = Fit()) -> Model:
     for step in range(1, how.steps + 1):
         weights, bias = theta[:-1], theta[-1]
         z = bias + np.bincount(row, weights=weights[what], minlength=len(lit))
-        p, p0 = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-bias))
-        log_q = -np.bincount(lit_owner, weights=_softplus(z), minlength=len(labels)) - quiet * _softplus(bias)
+        p = 1 / (1 + np.exp(-z))
+        log_q = -np.bincount(lit_owner, weights=_softplus(z), minlength=len(labels))
         q = np.exp(np.minimum(log_q, -1e-9))
         pull = np.where(labels > 0, -q / np.maximum(1 - q, 1e-9), 1.0)
         per_sentence = pull[lit_owner] * p
         slope = np.append(
             np.bincount(what, weights=per_sentence[row], minlength=len(vocabulary)),
-            per_sentence.sum() + (pull * quiet).sum() * p0,
+            per_sentence.sum(),
         ) / len(labels)
         slope[:-1] += how.ridge * weights / len(vocabulary)
         grown = 0.9 * grown + 0.1 * slope
@@ -176,9 +178,8 @@ class Scorer:
         else:
             lit, z = np.zeros(0, np.int64), np.zeros(0)
         owner = s.doc[lit]
-        quiet = counts - np.bincount(owner, minlength=n)
-        log_q = -np.bincount(owner, weights=_softplus(z), minlength=n) - quiet * _softplus(np.float64(model.bias))
-        return -np.expm1(log_q), counts, lit, 1 / (1 + np.exp(-z)), s
+        log_q = np.minimum(-_softplus(z) - np.log1p(-BACKGROUND), 0.0)
+        return 0.0 - np.expm1(np.bincount(owner, weights=log_q, minlength=n)), counts, lit, 0.0 - np.expm1(log_q), s
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         parts = [self.block(data, offsets)[0] for _, data, offsets in scan.blocks(texts)]

@@ -75,3 +75,16 @@ def test_the_sample_is_bounded(spark):
     assert fit_rows(documents, labels, "toxic", "doc_id", "text", 50, 10**9).count() == 50
     some = fit_rows(documents, labels, "toxic", "doc_id", "text", 50, 5000).collect()
     assert 0 < sum(len(r["text"]) for r in some) <= 5000
+
+
+def test_length_alone_is_not_toxic(model):
+    scorer = mil.Scorer(model)
+    plain = "\n".join(["neutral unheard sentence"] * 100_000)
+    assert scorer(pa.array([plain]))[1] == [100_000] and scorer.scores(pa.array([plain]))[0] == 0
+    clean = ". ".join(text(False) for _ in range(12_500))
+    assert scorer.scores(pa.array([clean]))[0] < 0.5 <= scorer.scores(pa.array([f"{clean} vile"]))[0]
+
+
+def test_harmless_uses_of_model_words_do_not_add_up(model):
+    weak = mil.Scorer(mil.Model(model.keys, np.full(len(model.keys), 0.5), -6.0))
+    assert weak.scores(pa.array(["\n".join(["word1 vile rotten nasty"] * 100_000)]))[0] < 0.5
