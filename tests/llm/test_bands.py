@@ -59,3 +59,16 @@ def test_filter_keeps_all_columns(spark):
 
 def test_empty_table(spark):
     assert bands.quality_rules(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_limits_follow_the_documents(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("etaoinshrdlucm") for _ in range(6)) for _ in range(3000)]
+    good = [" ".join(rng.choice(words) for _ in range(400))[:2100] for _ in range(150)]
+    filler = ["".join(f"{rng.choice(words)} {rng.choice(words[:4])} " for _ in range(220))[:2100] for _ in range(8)]
+    rows = list(enumerate([*good, *filler, *filler[:1] * 300]))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    wide = {r["doc_id"] for r in bands.quality_rules(table, limits=bands.Limits()).collect() if r["kept"]}
+    kept = {r["doc_id"] for r in bands.quality_rules(table).collect() if r["kept"]}
+    assert wide == set(range(len(rows))) and len(kept & set(range(150))) >= 148 and not kept - set(range(150))
+    assert {r["doc_id"] for r in bands.keep_by_quality(table).collect()} == kept
