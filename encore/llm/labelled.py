@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .frames import column, written
 
+#: A text that is longer than this part of the byte bound is passed over where the sample must be cut.
+SHARE = 1 / 16
+
 
 def held_out(id_col: str, folds: int = 5):
     """Every fifth id, by the checksum of its text; ids that are null are not held out."""
@@ -19,7 +22,8 @@ def fit_rows(
 
     A classifier may be fitted on a bounded sample, and these are its bounds. Rows are taken in the order of the hash of
     their ids; the ids are chosen before any text is read and go to the documents by broadcast. Repeated ids count once,
-    contradicting labels as 1.
+    contradicting labels as 1. Where the texts exceed ``most_bytes``, those over ``SHARE`` of it are passed over before
+    the sizes are summed. Fails if there are labelled texts but none fits.
     """
     marked = (
         labels.filter(column(label).isNotNull() & column(id_col).isNotNull() & ~held_out(id_col))
@@ -30,7 +34,10 @@ def fit_rows(
     texts = documents.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
     rows = written(texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]), f"fit-{label}")
     if (rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) > most_bytes:
+        sized = rows.filter(F.octet_length("text") <= int(SHARE * most_bytes))
         so_far = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(F.xxhash64("id"), "id"))
-        few = rows.select("id", so_far.alias("bytes")).filter(F.col("bytes") <= most_bytes).select("id")
+        few = sized.select("id", so_far.alias("bytes")).filter(F.col("bytes") <= most_bytes).select("id")
         rows = rows.join(F.broadcast(few), "id", "left_semi")
+        if rows.isEmpty():
+            raise ValueError(f"every text with a {label} label is longer than {int(SHARE * most_bytes)} bytes")
     return rows.select("text", "label").orderBy(F.xxhash64("id"), "id")

@@ -88,3 +88,17 @@ def test_length_alone_is_not_toxic(model):
 def test_harmless_uses_of_model_words_do_not_add_up(model):
     weak = mil.Scorer(mil.Model(model.keys, np.full(len(model.keys), 0.5), -6.0))
     assert weak.scores(pa.array(["\n".join(["word1 vile rotten nasty"] * 100_000)]))[0] < 0.5
+
+
+def test_long_texts_do_not_end_the_sample(spark):
+    from encore.llm.labelled import fit_rows
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    for long in (range(0, 60, 3), range(60)):
+        documents = spark.createDataFrame([(i, "x" * (20_000 if i in long else 50)) for i in range(60)], "doc_id long, text string")
+        if len(long) == 60:
+            with pytest.raises(ValueError):
+                fit_rows(documents, labels, "toxic", "doc_id", "text", 60, 10_000)
+        else:
+            some = fit_rows(documents, labels, "toxic", "doc_id", "text", 60, 10_000).collect()
+            assert len(some) > 20 and max(len(r["text"]) for r in some) == 50
