@@ -29,7 +29,7 @@ def _folded(raw: bytes) -> bytes:
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> DataFrame:
     """(key, length, item, window) of every window of every item, the words joined by blanks.
 
-    An item with fewer words than ``width`` is one window; one without words, null or empty, has none.
+    An item with fewer words than ``width`` is one window; one without words, null or empty, has none. The item may be null.
     """
     schema = T.StructType([field("key", LONG), field("length", LONG), field("item", TEXT), field("window", T.BinaryType())])
     source = benchmark.select(column(item_col).cast("string"), column(text_col).cast("string"))
@@ -43,7 +43,7 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, width:
                 for i in range(len(offsets) - 1):
                     low, high = found.ptr[i], found.ptr[i + 1]
                     size = min(width, high - low)
-                    if not size or items[first + i] is None:
+                    if not size:
                         continue
                     keys = scan.windows(found.key[low:high], size).view(np.int64)
                     parts = [_folded(data[a:b].tobytes()) for a, b in zip(found.start[low:high], found.end[low:high], strict=True)]
@@ -58,7 +58,7 @@ class Matcher:
     """One part of the benchmark: sorted keys by window length, and the windows behind each key."""
 
     def __init__(self, rows: list):
-        self.items: dict[int, list[tuple[str, bytes]]] = {}
+        self.items: dict[int, list[tuple[str | None, bytes]]] = {}
         by_length: dict[int, set[int]] = {}
         for key, length, item, window in rows:
             self.items.setdefault(key, []).append((item, bytes(window)))
@@ -78,7 +78,7 @@ class Matcher:
         found = scan.words(data, offsets, scan.ALNUM)
         doc = found.doc()
         covered = np.zeros(len(doc), bool)
-        items: dict[int, set[str]] = {}
+        items: dict[int, set[str | None]] = {}
         for length, places, mine in self.candidates(found.key):
             for p in places:
                 if doc[p] != doc[p + length - 1]:
@@ -109,7 +109,7 @@ def _marks(matcher: Matcher, texts: pa.Array, before: list | None) -> list:
                 {"first": int(a), "last": int(b), "start": int(found.start[low + a] - offsets[i]), "end": int(found.end[low + b - 1] - offsets[i])}
                 for a, b in zip(edge[::2], edge[1::2], strict=True)
             ]
-            out.append({"n_words": high - low, "n_hit": int(mine.sum()), "spans": spans, "items": sorted(names)})
+            out.append({"n_words": high - low, "n_hit": int(mine.sum()), "spans": spans, "items": sorted(names, key=lambda x: (x is None, x or ""))})
     return out
 
 
@@ -128,7 +128,8 @@ def find_leaks(
 
     Documents need no shuffle. The benchmark is counted first; each broadcast holds at most ``part_windows`` windows,
     and a larger benchmark is matched part by part, every part in a pass of its own over what the last one wrote, with
-    the marks joined. Null and empty texts have no words and no hits; null items are ignored; repeated rows are marked
+    the marks joined. Null and empty texts have no words and no hits; items without id hit like others and count
+    as one item without name; repeated rows are marked
     alike. An empty benchmark hits nothing. Columns that are not kept are not read.
     """
     spark = documents.sparkSession
@@ -166,7 +167,7 @@ def _one_part(frame: DataFrame, text_col: str, shared, marks: str, more: bool) -
 
 
 def digest(items: Column) -> Column:
-    """SHA-256 of the sorted, comma-joined items."""
+    """SHA-256 of the sorted, comma-joined items, without null."""
     return F.sha2(F.array_join(F.array_sort(items), ",").cast("binary"), 256)
 
 

@@ -65,3 +65,23 @@ def test_empty_tables(spark, tables):
     documents, benchmark = tables
     assert decontam.leak_report(documents.limit(0), benchmark).count() == 0
     assert decontam.leak_report(documents, benchmark.limit(0)).filter("contaminated").count() == 0
+
+
+def test_items_without_id_hit_as_the_sql_says(spark):
+    import duckdb
+
+    from encore.llm.queries import ORACLE_SQL
+
+    lost, named = passage(14), passage(12)
+    rows = [(0, f"{passage(3)} {lost} {passage(3)}"), (1, f"{named}, {lost}"), (2, passage(20)), (3, named)]
+    items = [(None, lost), (None, f"{lost} more"), ("a", named)]
+    documents, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    con = duckdb.connect()
+    for name, frame in (("documents", documents), ("benchmark", benchmark)):
+        con.register(name, frame.toPandas())
+    names = "doc_id, n_words, n_hit, n_items, items_sha256, contaminated"
+    expected = con.sql(f"SELECT {names} FROM ({ORACLE_SQL['op3_decontamination']}) ORDER BY doc_id").fetchall()
+    for part in (200_000, 4):
+        found = decontam.leak_report(documents, benchmark, part_windows=part).orderBy("doc_id").collect()
+        assert [tuple(r) for r in found] == expected
+    assert [r["doc_id"] for r in decontam.decontaminate(documents, benchmark).collect()] == [2]
