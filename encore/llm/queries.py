@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bands, decontam, jaccard, masked_lm, mil, packing, separators, shards, votes, warczip
+from . import bands, decontam, jaccard, masked_lm, mil, packing, resample, separators, shards, votes, warczip
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def compression_bands(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_votes": quality_votes,
     "op2_masked_scores": masked_scores,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": ngram_join,
     "op9_best_fit": best_fit,
     "op10_compression_bands": compression_bands,
+    "op11_importance_resampling": importance_resampling,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -137,5 +142,39 @@ WITH RECURSIVE doc_words AS (
 SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id
 JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c ON d.doc_id = c.doc_id
+""",
+    "op11_importance_resampling": f"""
+WITH bytes AS (
+  SELECT list(CAST(CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END AS UBIGINT) ORDER BY i) AS steps FROM (
+    SELECT i, {"".join("CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END AS c FROM (SELECT i, " for _ in range(7))}CAST(i AS UBIGINT) AS c
+    FROM range(256) x(i){")" * 7})
+), words AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents
+  UNION ALL SELECT 'b', item_id, regexp_extract_all({_LOWER}, {_ALNUM}) FROM benchmark
+), grams AS (
+  SELECT side, id, array_to_string(w[i : i + m - 1], ' ') AS gram
+  FROM (SELECT side, id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, (SELECT unnest([1, 2, 3]) AS m) WHERE len(w) >= m)
+), counted AS (
+  SELECT gram, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM grams GROUP BY gram
+), hashed AS (
+  SELECT gram, s, t, CAST(xor(list_reduce(
+    list_prepend(CAST(4294967295 AS UBIGINT), list_transform(regexp_extract_all(hex(encode(gram)), '..'), lambda x: CAST('0x' || x AS UBIGINT))),
+    lambda r, b: xor(r >> 8, steps[CAST(xor(r & 255, b) AS BIGINT) + 1])), 4294967295) % 10000 AS BIGINT) AS bucket FROM counted, bytes
+), totals AS (
+  SELECT bucket, CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM hashed GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM totals) + 10000) / ((s + 1) * ((SELECT sum(t) FROM totals) + 10000)))) AS BIGINT) AS gain
+  FROM totals
+), weighed AS (
+  SELECT g.id, CAST(count(*) AS BIGINT) AS n, CAST(sum(gain) AS BIGINT) AS weight
+  FROM grams g JOIN hashed h ON g.gram = h.gram JOIN gains USING (bucket) WHERE g.side = 'd' GROUP BY g.id
+), scored AS (
+  SELECT w.id AS doc_id, coalesce(x.n, 0) AS n_features, coalesce(x.weight, 0) AS weight, len(w.w) >= 20 AS able,
+    coalesce(x.weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || w.id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM words w LEFT JOIN weighed x ON w.id = x.id WHERE w.side = 'd'
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY able) AS many FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 5 * many // 100 THEN place END AS rank FROM placed
 """,
 }
