@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bands, decontam, jaccard, masked_lm, mil, packing, resample, separators, shards, votes, warczip
+from . import bands, decontam, jaccard, masked_lm, mil, minhash, packing, resample, separators, shards, votes, warczip
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return resample.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_votes": quality_votes,
     "op2_masked_scores": masked_scores,
@@ -79,12 +83,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit": best_fit,
     "op10_compression_bands": compression_bands,
     "op11_importance_resampling": importance_resampling,
+    "op12_minhash_dedup": minhash_dedup,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _BLANK = r"'[^\x20\x09-\x0D]+'"
 
+def _near_sql(percent: int, kept: str = "") -> str:
+    """Components of documents whose sets of five-word n-grams are so similar, over all pairs that share an n-gram."""
+    return f"""
+WITH RECURSIVE doc_words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER}, {_BLANK}) AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM doc_words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM grams x JOIN grams y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id
+), links AS (
+  SELECT s.a, s.b FROM shared s JOIN sizes x ON s.a = x.doc_id JOIN sizes y ON s.b = y.doc_id WHERE 100 * s.k >= {percent} * (x.n + y.n - s.k)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT r.doc_id, l.b AS other FROM reach r JOIN links l ON r.other = l.a
+)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, c.component_id{kept}
+FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id
+JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c ON d.doc_id = c.doc_id
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": f"""
 WITH item_words AS (
@@ -122,27 +152,8 @@ SELECT p.page_id, p.payload_bytes, p.payload_digest,
   CASE WHEN p.page_id <> f.first_id THEN f.first_id END AS refers_to
 FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
 """,
-    "op8_ngram_join": f"""
-WITH RECURSIVE doc_words AS (
-  SELECT doc_id, regexp_extract_all({_LOWER}, {_BLANK}) AS w FROM documents
-), grams AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS gram
-  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM doc_words WHERE len(w) > 0)
-), sizes AS (
-  SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
-), shared AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM grams x JOIN grams y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id
-), links AS (
-  SELECT s.a, s.b FROM shared s JOIN sizes x ON s.a = x.doc_id JOIN sizes y ON s.b = y.doc_id WHERE 100 * s.k >= {jaccard.PERCENT} * (x.n + y.n - s.k)
-), reach AS (
-  SELECT doc_id, doc_id AS other FROM documents
-  UNION
-  SELECT r.doc_id, l.b AS other FROM reach r JOIN links l ON r.other = l.a
-)
-SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, c.component_id
-FROM documents d LEFT JOIN sizes s ON d.doc_id = s.doc_id
-JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c ON d.doc_id = c.doc_id
-""",
+    "op8_ngram_join": _near_sql(jaccard.PERCENT),
+    "op12_minhash_dedup": _near_sql(minhash.Index().percent, ", d.doc_id = c.component_id AS kept"),
     "op11_importance_resampling": f"""
 WITH bytes AS (
   SELECT list(CAST(CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END AS UBIGINT) ORDER BY i) AS steps FROM (
