@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bands, decontam, jaccard, masked_lm, mil, minhash, packing, resample, separators, shards, votes, warczip
+from . import bands, decontam, jaccard, masked_lm, mil, minhash, packing, phrases, resample, separators, shards, votes, warczip
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.phrases(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_votes": quality_votes,
     "op2_masked_scores": masked_scores,
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_compression_bands": compression_bands,
     "op11_importance_resampling": importance_resampling,
     "op12_minhash_dedup": minhash_dedup,
+    "op13_phrase_collocations": phrase_collocations,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -187,5 +192,33 @@ WITH bytes AS (
   SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY able) AS many FROM scored
 )
 SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 5 * many // 100 THEN place END AS rank FROM placed
+""",
+    "op13_phrase_collocations": rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents
+), grams AS (
+  SELECT lang, w[i : i + m - 1] AS g FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(w) >= m)
+), counted AS (
+  SELECT lang, g, count(*) AS f FROM grams GROUP BY lang, g
+), totals AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counted WHERE len(g) = 1 GROUP BY lang
+), frequent AS (
+  SELECT lang, g, f FROM counted WHERE f >= {phrases.Mining().least}
+), cuts AS (
+  SELECT c.lang, c.g, c.f AS a, k, x.f AS l, y.f AS r, t.n, CAST((1000::HUGEINT * c.f * t.n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM (SELECT lang, g, f, unnest(range(1, len(g))) AS k FROM frequent WHERE len(g) > 1) c
+  JOIN frequent x ON x.lang = c.lang AND x.g = c.g[1 : k] JOIN frequent y ON y.lang = c.lang AND y.g = c.g[k + 1 :] JOIN totals t ON t.lang = c.lang
+), inner_phrases AS (
+  SELECT DISTINCT lang, g[i : i + m - 1] AS g, f
+  FROM (SELECT lang, g, f, m, unnest(range(1, len(g) - m + 2)) AS i FROM frequent, (SELECT unnest([2, 3, 4]) AS m) WHERE len(g) > m)
+), dropped AS (
+  SELECT DISTINCT q.lang, q.g FROM frequent q JOIN inner_phrases i ON q.lang = i.lang AND q.g = i.g AND i.f >= q.f
+), best AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank
+  FROM (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1) c
+  WHERE NOT EXISTS (SELECT 1 FROM dropped d WHERE d.lang = c.lang AND d.g = c.g)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM best WHERE rank <= {phrases.Mining().top}
 """,
 }
