@@ -7,7 +7,9 @@
    differing position. All such errors are enumerated: each chunk gives 6 keys, one without each position, and every pair within
    the distance meets on a key.
 3. Sets that meet are compared in three rounds: each with the set it meets most, then with the best linked set of each key, then
-   all pairs that are left between components. Pairs above the distance go; the rest are confirmed on their full sets.
+   all pairs that are left between components. After the first round, n-grams that occur in one component alone tell how much a
+   set can share with any other; those that cannot reach the similarity meet no more, so that the many copies of one text that
+   are just too far apart do not pair up. Pairs above the distance go; the rest are confirmed on their full sets.
 """
 
 from __future__ import annotations
@@ -142,26 +144,62 @@ def most_met(heads: DataFrame, index: Index) -> DataFrame:
     return best.select(F.col("id").alias("a"), F.col("best.b").alias("b"))
 
 
-def open_keys(heads: DataFrame, near: DataFrame, links: DataFrame) -> DataFrame:
+def open_rows(heads: DataFrame, near: DataFrame, links: DataFrame) -> DataFrame:
     """The rows of keys on which several components still meet, with component and number of links of each set."""
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
     rows = heads.select("key", "id", "n").join(near, "id", "left").join(ends, "id", "left")
     rows = rows.select("key", "id", "n", F.coalesce("component", "id").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree"))
-    several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    return rows.join(several, "key")
+    return rows.join(_several(rows).select("key"), "key")
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least")).filter("low <> high")
+
+
+def supports(rows: DataFrame, texts: DataFrame, index: Index) -> DataFrame:
+    """(id, support): how many n-grams of a set occur in another component at all. No partner there can share more."""
+    kind = rows.schema["id"].dataType
+    schema = T.StructType([field("gram", LONG), T.StructField("id", kind), T.StructField("component", kind)])
+    source = texts.join(rows.select("id", "component").distinct(), "id").select("id", "component", "text")
+
+    def run(batches):
+        for batch in batches:
+            for first, data, offsets in scan.blocks(batch.column(2)):
+                sets = jaccard.sets_of(data, offsets, index.width)
+                owner = pa.array(first + np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+                yield [pa.array(np.concatenate(sets).view(np.int64)), batch.column(0).take(owner), batch.column(1).take(owner)]
+
+    grams = map_batches(source, schema, run)
+    shared = grams.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gram")
+    return grams.join(shared, "gram").groupBy("id").agg(F.count(F.lit(1)).alias("support"))
+
+
+def _enough(index: Index, shared, joint):
+    """Whether so many shared n-grams, of so many in both sets together, can make a link."""
+    return (100 + index.percent) * shared >= index.percent * joint
+
+
+def supported(rows: DataFrame, support: DataFrame, index: Index) -> DataFrame:
+    """The rows of sets that can still link with the smallest set on the key, of keys on which several components are left."""
+    rows = rows.join(support, "id").join(_several(rows).select("key", "least"), "key")
+    rows = rows.filter(_enough(index, F.col("support"), F.col("n") + F.col("least"))).drop("least")
+    return rows.join(_several(rows).select("key"), "key")
 
 
 def hub_pairs(rows: DataFrame, index: Index) -> DataFrame:
     """Each set with the best linked set of each of its keys, where their components differ."""
-    hubs = rows.groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("less"), "id", "n", "component")).alias("hub"))
+    hubs = rows.groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("less"), "id", "n", "component", "support")).alias("hub"))
     met = rows.join(hubs, "key").filter(F.col("component") != F.col("hub.component")).filter(_of_size(index, F.col("n"), F.col("hub.n")))
+    met = met.filter(_enough(index, F.least("support", "hub.support"), F.col("n") + F.col("hub.n")))
     return met.select(F.least("id", "hub.id").alias("b"), F.greatest("id", "hub.id").alias("a")).select("a", "b").distinct()
 
 
 def all_pairs(rows: DataFrame, index: Index) -> DataFrame:
     """All pairs of different components that meet on a key and whose sizes allow the similarity."""
-    other = rows.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("component").alias("theirs"))
-    met = rows.join(other, "key").filter((F.col("component") != F.col("theirs")) & (F.col("id") > F.col("other")) & _of_size(index, F.col("n"), F.col("m")))
+    other = rows.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("component").alias("theirs"), F.col("support").alias("backed"))
+    apart = (F.col("component") != F.col("theirs")) & (F.col("id") > F.col("other"))
+    able = _of_size(index, F.col("n"), F.col("m")) & _enough(index, F.least("support", "backed"), F.col("n") + F.col("m"))
+    met = rows.join(other, "key").filter(apart & able)
     return met.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
 
 
@@ -193,11 +231,15 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         return written(jaccard.verified(within_distance(pairs, signed, index), texts, rule), name, f"{scratch}/{name}")
 
-    tried = confirmed(most_met(heads, index), "first")
+    tried, support = confirmed(most_met(heads, index), "first"), None
     for name, pairing in (("hubs", hub_pairs), ("rest", all_pairs)):
         links = tried.filter("linked").select("a", "b").distinct()
         near = components(links, f"{name}-components")
-        rows = written(open_keys(heads, near, links), f"{name}-rows", f"{scratch}/{name}-rows")
+        rows = open_rows(heads, near, links)
+        if support is None:
+            rows = written(rows, "open", f"{scratch}/open")
+            support = written(supports(rows, texts, index), "supports", f"{scratch}/supports")
+        rows = written(supported(rows, support, index), f"{name}-rows", f"{scratch}/{name}-rows")
         known = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tried = tried.unionByName(confirmed(pairing(rows, index).join(known, ["a", "b"], "left_anti"), name))
 
