@@ -6,8 +6,9 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from ..operators import actions, evaluation, mart, neighbours, propensity, quality, survival
+from ..operators import actions, evaluation, lsh, mart, neighbours, propensity, quality, survival
 from ..oracle import models_sql as sql
+from ..session import written
 from .catalog import result
 from .stages import Stages
 
@@ -482,6 +483,23 @@ def _(s: Stages):
     return neighbours.knn_median_variant(s.modeling_view)
 
 
+@result(
+    "lsh_recall",
+    "K4",
+    """SELECT 'todos' AS grupo, count(DISTINCT id) AS n, count(*) AS pares, true AS alcanza FROM knn
+    UNION ALL SELECT 'centena', count(DISTINCT id), count(*), true FROM knn WHERE id::BIGINT % 100 = 0 HAVING count(*) > 0""",
+)
+def _(s: Stages):
+    """Whether the hashed join finds nine in ten of the exact neighbours, over all targets and over ids divisible by 100."""
+    reference, target = s.knn_groups
+    near = written(lsh.approximate_users(target, reference), "lsh-neighbours")
+    hundredth = F.col("id").cast("long") % 100 == 0
+    parts = [("todos", near, s.neighbours), ("centena", near.filter(hundredth), s.neighbours.filter(hundredth))]
+    shares = [lsh.recall(got, exact).withColumn("grupo", F.lit(name)) for name, got, exact in parts]
+    rows = shares[0].unionByName(shares[1]).filter("n > 0")
+    return rows.select("grupo", "n", "pares", (F.col("recall") >= 0.9).alias("alcanza"))
+
+
 # --- mart -------------------------------------------------------------------------------------------------------
 
 
