@@ -6,10 +6,11 @@
 2. A signature is cut into 16 chunks of 6. By the pigeonhole principle a pair within the distance has a chunk with at most one
    differing position. All such errors are enumerated: each chunk gives 6 keys, one without each position, and every pair within
    the distance meets on a key.
-3. Sets that meet are compared in three rounds: each with the set it meets most, then with the best linked set of each key, then
-   all pairs that are left between components. After the first round, n-grams that occur in one component alone tell how much a
-   set can share with any other; those that cannot reach the similarity meet no more, so that the many copies of one text that
-   are just too far apart do not pair up. Pairs above the distance go; the rest are confirmed on their full sets.
+3. Sets that meet are compared in three rounds: each with the set it meets most, then with the best linked set of each key (the
+   hub), then those that are left between components, by how they differ from the hub of a key on which they meet. After the
+   first round, n-grams that occur in one component alone tell how much a set can share with any other; those that cannot reach
+   the similarity meet no more. So the many copies of one text that are just too far apart do not pair up. Pairs above the
+   distance go; the rest are confirmed on their full sets.
 """
 
 from __future__ import annotations
@@ -194,13 +195,53 @@ def hub_pairs(rows: DataFrame, index: Index) -> DataFrame:
     return met.select(F.least("id", "hub.id").alias("b"), F.greatest("id", "hub.id").alias("a")).select("a", "b").distinct()
 
 
-def all_pairs(rows: DataFrame, index: Index) -> DataFrame:
-    """All pairs of different components that meet on a key and whose sizes allow the similarity."""
-    other = rows.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("component").alias("theirs"), F.col("support").alias("backed"))
-    apart = (F.col("component") != F.col("theirs")) & (F.col("id") > F.col("other"))
-    able = _of_size(index, F.col("n"), F.col("m")) & _enough(index, F.least("support", "backed"), F.col("n") + F.col("m"))
-    met = rows.join(other, "key").filter(apart & able)
-    return met.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+def spokes(rows: DataFrame, texts: DataFrame, index: Index) -> DataFrame:
+    """(hub, id, component, n, size, grams): how each set differs from the best linked set of each of its keys, as the n-grams that only one has."""
+    hubs = rows.groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("less"), "id")).alias("hub"))
+    met = rows.join(hubs, "key").filter(F.col("id") != F.col("hub.id")).select("id", "component", F.col("hub.id").alias("other")).distinct()
+    met = met.join(texts.select("id", F.col("text").alias("mine")), "id").join(texts.select(F.col("id").alias("other"), F.col("text").alias("theirs")), "other")
+    ends = [rows.schema["id"], T.StructField("component", rows.schema["id"].dataType)]
+    schema = T.StructType([field("hub", LONG), *ends, field("n", LONG), field("size", LONG), field("grams", T.ArrayType(LONG))])
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                sides = [[x for _, data, offsets in scan.blocks(part.column(c)) for x in jaccard.sets_of(data, offsets, index.width)] for c in (2, 3)]
+                apart = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in zip(*sides, strict=True)]
+                marks = [int(scan.mix(y).sum(dtype=np.uint64).view(np.int64)) for y in sides[1]]
+                ends = np.concatenate([[0], np.cumsum([len(d) for d in apart])]).astype(np.int32)
+                grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(apart)))
+                yield [pa.array(marks), part.column(0), part.column(1), pa.array([len(x) for x in sides[0]]), pa.array(np.diff(ends)), grams]
+
+    return map_batches(met.select("id", "component", "mine", "theirs"), schema, run)
+
+
+def edit_pairs(spoken: DataFrame, index: Index) -> DataFrame:
+    """The pairs of different components that differ from one hub in enough of the same n-grams to be as similar as asked.
+
+    With D what a set and the hub do not share, two sets differ in |D| + |E| - 2 * shared n-grams. A pair that could link without a shared
+    one would link with the hub, both of them, and so be connected. Hence a pair must share n-grams of D and E; those are ordered from rare
+    to frequent, and the first that a pair shares must leave enough behind it on both sides. Copies of one text with edits of their own
+    share little of D and E, so they do not pair up.
+    """
+    p = index.percent
+    spoken = spoken.withColumn("mark", F.xxhash64("grams"))
+    plain = ["hub", "id", "mark", "component", "n", "size"]
+    each = spoken.select(*plain, F.explode("grams").alias("gram"))
+    shared = each.groupBy("hub", "gram").agg(F.count(F.lit(1)).alias("many"), F.min("component").alias("low"), F.max("component").alias("high"))
+    common = each.join(shared.filter("low <> high").select("hub", "gram", "many"), ["hub", "gram"])
+    common = common.groupBy(*plain).agg(F.array_sort(F.collect_list(F.struct("many", "gram"))).alias("common"))
+    placed = common.select(*plain, F.col("size") - F.size("common"), F.posexplode("common").alias("i", "c"))
+    placed = placed.toDF(*plain, "alone", "i", "c").select(*plain, F.col("c.gram").alias("gram"), (F.col("alone") + F.col("i")).alias("at"))
+    #: The side that differs less from the hub needs to be met on its first n-grams only.
+    gives = placed.filter(2 * p * F.col("at") <= (100 - p) * F.col("n"))
+    gives = gives.toDF("hub", "other", "mark2", "theirs", "m", "least", "gram", "by")
+    joint = F.least(F.col("size") - F.col("at"), F.col("least") - F.col("by"))
+    able = (100 + p) * (F.col("size") + F.col("least") - 2 * joint) <= (100 - p) * (F.col("n") + F.col("m"))
+    turn = (F.col("least") < F.col("size")) | ((F.col("least") == F.col("size")) & (F.col("other") < F.col("id")))
+    pairs = placed.join(gives, ["hub", "gram"]).filter((F.col("component") != F.col("theirs")) & turn & able)
+    return pairs.select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: Index = Index()) -> DataFrame:
@@ -232,7 +273,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         return written(jaccard.verified(within_distance(pairs, signed, index), texts, rule), name, f"{scratch}/{name}")
 
     tried, support = confirmed(most_met(heads, index), "first"), None
-    for name, pairing in (("hubs", hub_pairs), ("rest", all_pairs)):
+    for name in ("hubs", "edits"):
         links = tried.filter("linked").select("a", "b").distinct()
         near = components(links, f"{name}-components")
         rows = open_rows(heads, near, links)
@@ -240,8 +281,11 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
             rows = written(rows, "open", f"{scratch}/open")
             support = written(supports(rows, texts, index), "supports", f"{scratch}/supports")
         rows = written(supported(rows, support, index), f"{name}-rows", f"{scratch}/{name}-rows")
+        pairs = hub_pairs(rows, index)
+        if name == "edits":
+            pairs = pairs.unionByName(edit_pairs(written(spokes(rows, texts, index), "spokes", f"{scratch}/spokes"), index)).distinct()
         known = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tried = tried.unionByName(confirmed(pairing(rows, index).join(known, ["a", "b"], "left_anti"), name))
+        tried = tried.unionByName(confirmed(pairs.join(known, ["a", "b"], "left_anti"), name))
 
     links = tried.filter("linked").select("a", "b").unionByName(_same_id(filled, sets)).distinct()
     of_sets = components(links, "set-components").withColumnRenamed("id", "set_id")

@@ -28,7 +28,7 @@ WORDS = scan.Alphabet(b" \t" + STOPS, fold=True)
 _STOP = np.isin(np.arange(256), list(STOPS))
 _FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Words of a shard: bounds a task's memory. Below 2**21, so that three word numbers fit into 64 bits.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 1_000_000
 #: Windows of a prefix range, on average.
 RANGE_WINDOWS = 4_000_000
 #: Words that packed tries name by two bytes; others are spelled out by their keys.
@@ -89,6 +89,24 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return map_batches(texts, schema, run).groupBy("lang", "key", "word").agg(F.sum("f").alias("f"))
 
 
+def frequent_names(words: DataFrame, most: int = SHORT_NAMES) -> np.ndarray:
+    """Sorted keys of the most frequent words, at most ``most``: those above a count, found from how many words have counts of each size.
+
+    No task and no driver orders the words; the driver gets a thousand rows at most, then the keys.
+    """
+    size = F.floor(F.log("f") * 20).alias("size")
+    counts = words.groupBy(size).agg(F.count(F.lit(1)).alias("n")).collect()
+    least, room = None, most
+    for row in sorted(counts, key=lambda r: -r["size"]):
+        if row["n"] > room:
+            break
+        least, room = row["size"], room - row["n"]
+    if least is None:
+        return np.zeros(0, np.uint64)
+    keys = words.filter(F.floor(F.log("f") * 20) >= least).select("key").collect()
+    return np.sort(np.array([r["key"] for r in keys], np.int64).view(np.uint64))
+
+
 @dataclass
 class Automaton:
     """States by depth, each depth sorted by parent, then label: the word's key, the parent's number, the weight."""
@@ -339,7 +357,7 @@ def unions(shards: DataFrame, names: np.ndarray, ranges: int, least: int) -> Dat
         if blobs:
             yield from merged()
 
-    return map_batches(shards.repartition(2 * ranges, "part").sortWithinPartitions("part"), shards.schema, run)
+    return map_batches(shards.repartitionById(2 * ranges, "part").sortWithinPartitions("part"), shards.schema, run)
 
 
 def _lists(rows: np.ndarray) -> pa.Array:
@@ -429,7 +447,7 @@ def phrases(documents: DataFrame, text_col: str = "text", lang_col: str = "lang"
     words = written(word_counts(texts), "words", f"{scratch}/words")
     total = words.agg(F.sum("f")).first()[0] or 0
     ranges = max(1, -(-total // RANGE_WINDOWS))
-    names = np.sort(np.array([r["key"] for r in words.orderBy(F.desc("f"), "key").limit(SHORT_NAMES).select("key").collect()], np.int64).view(np.uint64))
+    names = frequent_names(words)
     merged = written(unions(automata(texts, names, ranges), names, ranges, mining.least), "unions", f"{scratch}/unions")
     found = written(candidates(merged, names), "candidates", f"{scratch}/candidates")
     answers = compose(questions(found, ranges), merged, names)
