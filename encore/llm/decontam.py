@@ -215,11 +215,12 @@ def decontaminate(
     return map_batches(found.select(*[column(c) for c in names], column(marks)), schema, run)
 
 
-def leak_report(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def leak_report(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document: words, hit words, number and digest of the items found, and the verdict."""
-    found = find_leaks(documents, benchmark, [id_col], **options)
+    named = documents.select(column(id_col).alias("_id"), column(text_col).cast("string").alias("_text"))
+    found = find_leaks(named, benchmark, ["_id"], "_text", **options)
     return found.select(
-        column(id_col),
+        F.col("_id").alias(id_col),
         F.col("marks.n_words").alias("n_words"),
         F.col("marks.n_hit").alias("n_hit"),
         F.size("marks.items").cast("long").alias("n_items"),

@@ -301,18 +301,25 @@ def _same_id(filled: DataFrame, smallest: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule()) -> DataFrame:
     """The documents without all but one of each group of near-duplicates: the one with the smallest id stays.
 
-    Documents without words and those with a null id stay. All columns are as they were; rows that repeat the id that
-    stays are copies of it too, and one of them stays.
+    Documents without words and those with a null id stay. All columns are as they were. Rows that repeat an id are documents of
+    their own: they go only where their texts are near copies of one that stays, and of equal texts under one id the row with
+    the least hash stays.
     """
-    found = near_duplicates(documents, id_col, text_col, rule)
-    gone = written(found.filter(column(id_col) != F.col("component_id")).select(column(id_col)).distinct(), "copies")
     names = documents.columns
-    kept = documents.join(gone, id_col, "left_anti").select(*[column(c) for c in names])
     counted = documents.groupBy(column(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    twice = written(counted.filter("n > 1 AND id IS NOT NULL").select(F.col("id").alias(id_col)), "repeated-ids")
-    if not twice.count():
-        return kept
-    blank = F.trim(F.coalesce(column(text_col).cast("string"), F.lit(""))) == ""
-    single = kept.join(twice, id_col, "left_anti").select(*[column(c) for c in names])
-    repeated = kept.join(twice, id_col, "left_semi").select(*[column(c) for c in names])
-    return single.unionByName(repeated.filter(~blank).dropDuplicates([id_col])).unionByName(repeated.filter(blank))
+    if counted.filter("n > 1 AND id IS NOT NULL").isEmpty():
+        found = near_duplicates(documents, id_col, text_col, rule)
+        gone = written(found.filter(column(id_col) != F.col("component_id")).select(column(id_col)).distinct(), "copies")
+        return documents.join(gone, id_col, "left_anti").select(*[column(c) for c in names])
+    plain = [F.col(f"c{i}") for i in range(len(names))]
+    frame = documents.select(*[column(c).alias(f"c{i}") for i, c in enumerate(names)])
+    own, text = plain[names.index(id_col)], plain[names.index(text_col)].cast("string")
+    frame = frame.withColumn("key", F.when(own.isNotNull(), F.struct(own.alias("id"), F.when(own.isNotNull(), F.xxhash64(text)).alias("hash"))))
+    found = near_duplicates(frame.select("key", text.alias("text")), "key", "text", rule)
+    gone = written(found.filter(F.col("key") != F.col("component_id")).select("key").distinct(), "copies")
+    kept = frame.join(gone, "key", "left_anti")
+    alone = F.col("key").isNull() | ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    hashed = F.xxhash64(*[c for c, f in zip(plain, documents.schema, strict=True) if not isinstance(f.dataType, T.MapType)])
+    single = kept.filter(~alone).groupBy("key").agg(F.min_by(F.struct(*plain), hashed).alias("row")).select("row.*")
+    rows = kept.filter(alone).select(*plain).unionByName(single)
+    return rows.select(*[c.alias(name) for c, name in zip(plain, names, strict=True)])

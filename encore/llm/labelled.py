@@ -22,7 +22,7 @@ def fit_rows(
 
     A classifier may be fitted on a bounded sample, and these are its bounds. Rows are taken in the order of the hash of
     their ids; the ids are chosen before any text is read and go to the documents by broadcast. Repeated ids count once,
-    contradicting labels as 1. Where the texts exceed ``most_bytes``, those over ``SHARE`` of it are passed over before
+    with the text of the least hash; contradicting labels count as 1. Where the texts exceed ``most_bytes``, those over ``SHARE`` of it are passed over before
     the sizes are summed. Fails if there are labelled texts but none fits.
     """
     marked = (
@@ -32,7 +32,8 @@ def fit_rows(
     )
     chosen = marked.orderBy(F.xxhash64("id"), "id").limit(most)
     texts = documents.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
-    rows = written(texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]), f"fit-{label}")
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text")
+    rows = written(texts.join(F.broadcast(chosen), "id").groupBy("id").agg(first, F.max("label").alias("label")), f"fit-{label}")
     if (rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) > most_bytes:
         sized = rows.filter(F.octet_length("text") <= int(SHARE * most_bytes))
         so_far = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(F.xxhash64("id"), "id"))

@@ -9,7 +9,8 @@ ones emptier, until no sequence can be emptied or the least possible number is r
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from bisect import bisect_left, insort
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ CAPACITY = 2048
 #: Pieces of one group: what a task holds, and what a group wastes is at most about one sequence.
 GROUP = 8192
 END = 0
+#: Steps of the search without an emptied sequence after which it ends.
+PATIENCE = 1000
 _TEXTS = 512
 
 
@@ -112,46 +115,88 @@ class Bins:
         self.free[donor] += moved
         self.free[home] -= moved
 
-    def _exchange(self, donor: int, homes: list[int]) -> bool:
-        """One improving step that takes tokens out of ``donor``; False if there is none."""
-        sizes, mine = self.sizes, sorted(self.content[donor], key=lambda i: -self.sizes[i])
-        bundles = [[i] for i in mine] + [[i, j] for n, i in enumerate(mine) for j in mine[n + 1 : n + 33]]
-        best = (0, None)
-        for home in homes:
-            room = self.free[home]
-            if home == donor or not room or not self.content[home]:
-                continue
-            theirs = [None, *self.content[home]]
-            for bundle in bundles:
-                total = sum(sizes[i] for i in bundle)
-                for other in theirs:
-                    if other is None and len(bundle) > 1:
-                        continue
-                    gain = total - (sizes[other] if other is not None else 0)
-                    if best[0] < gain <= room:
-                        best = (gain, (bundle, home, [] if other is None else [other]))
-            if best[0] == room:
-                break
-        if not best[0]:
-            return False
-        self._give(donor, best[1][0], best[1][1], best[1][2])
-        return True
+    def _sums(self, donor: int) -> np.ndarray:
+        """Sorted sizes of the donor's pieces and of any two of them; distinct sizes of a sequence are few."""
+        count = Counter(self.sizes[i] for i in self.content[donor])
+        sizes = np.array(sorted(count))
+        pairs = sizes[:, None] + sizes[None, :]
+        once = [k for k, size in enumerate(sizes.tolist()) if count[size] < 2]
+        pairs[once, once] = sizes[once]
+        return np.unique(np.concatenate([sizes, pairs.ravel()]))
+
+    def _most(self, donor: int, homes: np.ndarray) -> np.ndarray:
+        """The most tokens that one step can take from the donor into each of these sequences, 0 if none."""
+        single = np.array(sorted({self.sizes[i] for i in self.content[donor]}))
+        rooms = np.array([self.free[h] for h in homes])
+        at = np.searchsorted(single, rooms, "right")
+        most = np.where(at > 0, single[at - 1], 0)
+        held = [self.content[h] for h in homes]
+        back = np.array([self.sizes[i] for c in held for i in c])
+        owner = np.repeat(np.arange(len(homes)), [len(c) for c in held])
+        sums = self._sums(donor)
+        at = np.searchsorted(sums, back + rooms[owner], "right")
+        np.maximum.at(most, owner, np.where(at > 0, sums[at - 1], 0) - back)
+        return most
+
+    def _step_into(self, donor: int, home: int, gain: int) -> None:
+        """The first step, by falling size, that takes so many tokens from the donor into the sequence."""
+        mine, sizes = sorted(self.content[donor], key=lambda i: -self.sizes[i]), self.sizes
+        whole = {}
+        for j in reversed(self.content[home]):
+            whole[sizes[j]] = j
+        for i in mine:
+            if sizes[i] == gain:
+                return self._give(donor, [i], home, [])
+            if sizes[i] - gain in whole:
+                return self._give(donor, [i], home, [whole[sizes[i] - gain]])
+        for n, i in enumerate(mine):
+            for k in mine[n + 1 :]:
+                if sizes[i] + sizes[k] - gain in whole:
+                    return self._give(donor, [i, k], home, [whole[sizes[i] + sizes[k] - gain]])
+
+    def _exchange(self, donor: int, homes: list[int]) -> int | None:
+        """One improving step that takes tokens out of ``donor``: the largest, looking no further than a room that it would fill."""
+        if not homes:
+            return None
+        most = self._most(donor, np.array(homes))
+        best = np.maximum.accumulate(most)
+        full = np.flatnonzero(best == [self.free[h] for h in homes])
+        pick = int(most[: full[0] + 1 if len(full) else None].argmax())
+        if most[pick] <= 0:
+            return None
+        self._step_into(donor, homes[pick], int(most[pick]))
+        return homes[pick]
 
     def improve(self) -> None:
-        """Empties underfull sequences, emptiest first, as long as exchanges with fuller ones get anywhere."""
-        stuck: set[int] = set()
-        while self.used() > self.least():
-            under = sorted((h for h, c in enumerate(self.content) if c and self.free[h]), key=lambda h: -self.free[h])
-            donor = next((h for h in under if h not in stuck), None)
-            if donor is None or self.capacity - self.free[donor] > sum(self.free[h] for h in under if h != donor):
+        """Empties underfull sequences, emptiest first, until exchanges with fuller ones get nowhere for any of them.
+
+        A sequence that found no step is asked again for the sequences that have changed since, and for no others. The search
+        ends, too, when ``PATIENCE`` steps in a row have emptied no sequence.
+        """
+        idle = 0
+        clock, changed = 0, [0] * len(self.content)
+        asked = [-1] * len(self.content)
+        under = sorted((-self.free[h], h) for h, c in enumerate(self.content) if c and self.free[h])
+        used, least = self.used(), self.least()
+        while used > least and idle < PATIENCE:
+            latest = max((changed[h] for _, h in under), default=0)
+            donor = next((h for _, h in under if asked[h] < latest or asked[h] < 0), None)
+            if donor is None:
                 return
-            homes = [h for h in under if self.free[h] <= self.free[donor] and h != donor]
-            if self._exchange(donor, homes):
-                stuck.clear()
-            else:
-                stuck.add(donor)
-                if len(stuck) > 8:
-                    return
+            low = bisect_left(under, (-self.free[donor], -1))
+            homes = [h for _, h in under[low:] if h != donor and changed[h] > asked[donor]]
+            home = self._exchange(donor, homes)
+            if home is None:
+                asked[donor] = clock
+                continue
+            clock, used = clock + 1, used - (not self.content[donor])
+            idle = idle + 1 if self.content[donor] else 0
+            for h in (donor, home):
+                changed[h], asked[h] = clock, -1
+            under = [(f, h) for f, h in under if h not in (donor, home)]
+            for h in (donor, home):
+                if self.content[h] and self.free[h]:
+                    insort(under, (-self.free[h], h))
 
 
 def _packed(table: pa.Table, capacity: int, group_at: int) -> list[pa.Array]:
@@ -187,7 +232,8 @@ def pack(
     An empty table gives an empty result.
     """
     path = path or default_path()
-    cut = pieces(documents, id_col, text_col, path, capacity, end, with_ids)
+    named = documents.select(column(id_col).alias("_id"), column(text_col).cast("string").alias("_text"))
+    cut = pieces(named, "_id", "_text", path, capacity, end, with_ids)
     table = written(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-table.count() // group))
     dealt = table.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups))).drop("row")
@@ -198,4 +244,4 @@ def pack(
         columns = [part.column(i).combine_chunks() for i in range(width)]
         return pa.Table.from_arrays([*columns, *_packed(part, capacity, width)], schema=arrow)
 
-    return dealt.groupBy("group").applyInArrow(work, schema)
+    return dealt.groupBy("group").applyInArrow(work, schema).withColumnRenamed("_id", id_col)

@@ -85,3 +85,10 @@ def test_items_without_id_hit_as_the_sql_says(spark):
         found = decontam.leak_report(documents, benchmark, part_windows=part).orderBy("doc_id").collect()
         assert [tuple(r) for r in found] == expected
     assert [r["doc_id"] for r in decontam.decontaminate(documents, benchmark).collect()] == [2]
+
+
+def test_id_named_like_the_marks(spark):
+    table = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "none")], "marks long, text string")
+    items = spark.createDataFrame([(7, "a b c d e f g h i j")], "item_id long, text string")
+    found = {r["marks"]: r["n_hit"] for r in decontam.leak_report(table, items, id_col="marks").collect()}
+    assert found == {1: 10, 2: 0}

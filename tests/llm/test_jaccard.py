@@ -66,6 +66,21 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 4, 5, 6, 7]
 
 
+def test_rows_with_one_id_and_different_texts_stay(spark):
+    river, engine = prose(80), prose(80)
+    rows = [
+        (1, " ".join(river), "a"), (1, " ".join(engine), "b"), (2, " ".join(edited(engine, 1)), "c"), (1, " ".join(river), "d"), (3, " ".join(edited(river, 1)), "e"),
+        (1, None, "f"), (1, "\t", "g"), (None, " ".join(river), "h"), (4, "other words here", "i"),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    for parts in (1, 4):
+        kept = jaccard.keep_one(table.repartition(parts))
+        assert kept.columns == table.columns
+        names = sorted(r["key"] for r in kept.collect())
+        assert "".join(names) in ("abfghi", "bdfghi")
+    assert len({tuple(sorted(r["key"] for r in jaccard.keep_one(table.repartition(n)).collect())) for n in (1, 3, 5)}) == 1
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.near_duplicates(empty).count() == 0 and jaccard.keep_one(empty).count() == 0

@@ -82,3 +82,74 @@ def test_special_tokens_keep_the_ids_of_the_library(spark):
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r["doc_id"]: bytes(r["ids"]) for r in packing.pack(table, with_ids=True).collect()}
     assert found == {i: np.array([*plain.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for i, t in enumerate(texts)}
+
+
+class Plain(packing.Bins):
+    """The same search step by step over all bundles and homes."""
+
+    def improve(self):
+        stuck = set()
+        while self.used() > self.least():
+            under = sorted((h for h, c in enumerate(self.content) if c and self.free[h]), key=lambda h: -self.free[h])
+            donor = next((h for h in under if h not in stuck), None)
+            if donor is None:
+                return
+            mine = sorted(self.content[donor], key=lambda i: -self.sizes[i])
+            best = (0, None)
+            for home in (h for h in under if self.free[h] <= self.free[donor] and h != donor):
+                for bundle in [[i] for i in mine] + [[i, j] for n, i in enumerate(mine) for j in mine[n + 1 :]]:
+                    for other in [None, *self.content[home]] if len(bundle) == 1 else self.content[home]:
+                        gain = sum(self.sizes[i] for i in bundle) - (0 if other is None else self.sizes[other])
+                        if best[0] < gain <= self.free[home]:
+                            best = (gain, (bundle, home, [] if other is None else [other]))
+                if best[0] == self.free[home]:
+                    break
+            if best[0]:
+                self._give(donor, *best[1])
+                stuck.clear()
+            else:
+                stuck.add(donor)
+
+
+@pytest.mark.parametrize("low,high,capacity", [(300, 900, 2048), (20, 60, 100), (100, 1200, 2048), (1, 2048, 2048)])
+def test_search_misses_nothing_that_plain_search_finds(low, high, capacity):
+    for seed in range(30):
+        rng = random.Random(seed)
+        sizes = [rng.randint(low, high) for _ in range(rng.randint(90, 120))]
+        plain, bins = Plain(sizes, capacity), packing.Bins(sizes, capacity)
+        for x in (plain, bins):
+            x.best_fit()
+            x.improve()
+        assert bins.used() <= plain.used()
+
+
+def test_optimum_of_few_pieces():
+    def optimum(sizes, capacity):
+        """Fewest sequences and greatest last room, over all subsets."""
+        best = {0: (0, 0)}
+        for mask in range(1, 1 << len(sizes)):
+            options = []
+            for i, s in enumerate(sizes):
+                if mask >> i & 1:
+                    used, room = best[mask ^ 1 << i]
+                    options.append((used, -(room - s)) if room >= s else (used + 1, -(capacity - s)))
+            used, room = min(options)
+            best[mask] = (used, -room)
+        return best[(1 << len(sizes)) - 1][0]
+
+    rng = random.Random(1)
+    missed = 0
+    for _ in range(40):
+        sizes = [rng.randint(10, 60) for _ in range(rng.randint(4, 12))]
+        bins = packing.Bins(sizes, 100)
+        bins.best_fit()
+        bins.improve()
+        missed += bins.used() - optimum(sizes, 100)
+    assert missed <= 1
+
+
+def test_any_name_of_the_id(spark):
+    for name in ("row", "group", "_id"):
+        table = spark.createDataFrame([(i, "some words", "x") for i in range(20)], f"{name} long, text string, other string")
+        found = packing.pack(table, name)
+        assert found.columns[0] == name and sorted(r[0] for r in found.collect()) == list(range(20))
