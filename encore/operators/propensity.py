@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -18,6 +17,7 @@ from ..functions.aggregates import as_col
 from ..functions.ranking import HASH_DIGITS, exact_quantiles, global_row_number, seeded_hash, seeded_sample
 from ..functions.text import first_item
 from ..session import written
+from .bootstrap import bootstrap_fits
 from .evaluation import grouped_auc
 from .targets import leakage_guard
 
@@ -278,30 +278,15 @@ def bootstrap_ci(
     size: int = 150_000,
     replacement: bool = False,
     first_seed: int = 1000,
-    at_once: int = 4,
+    c: float = 1.0,
 ) -> DataFrame:
-    """Intervals of each odds ratio over repeated fits.
+    """Each coefficient and odds ratio with its interval over repeated fits.
 
-    The design is written once, and each fit reads its rows from there. By default rows are drawn without replacement;
-    ``replacement=True`` gives a true bootstrap. Fits run on the whole cluster, ``at_once`` side by side; only their
-    coefficients come back.
+    By default rows are drawn without replacement, the rows of ``bootstrap_samples``; ``replacement=True`` gives a true bootstrap.
+    All fits share their scans, see :mod:`.bootstrap`.
     """
-    spark = train.sparkSession
-    matrix = written(_matrix(point.design, train, "social_id"), "bootstrap-design")
-    total = max(matrix.count(), 1)
-
-    def one(i: int) -> list[tuple[int, str, float]]:
-        if replacement:
-            rows = matrix.sample(True, min(1.0, size / total), first_seed + i)
-        else:
-            rows = seeded_sample(matrix, size, "social_id", first_seed + i)
-        betas = _fitted(rows, 1.0, 200).coefficients.toArray()
-        return [(i, name, float(beta)) for name, beta in zip(point.design.names, betas)]
-
-    with ThreadPoolExecutor(max_workers=at_once) as pool:
-        drawn = [row for rows in pool.map(one, range(n)) for row in rows]
-    fits = spark.createDataFrame(drawn, "muestra int, feature string, beta double")
-    table = odds_ratios(spark, point).withColumnRenamed("odds_ratio", "or")
+    fits = bootstrap_fits(_matrix(point.design, train, "social_id"), point.design.names, n, size, replacement, first_seed, c)
+    table = odds_ratios(train.sparkSession, point).withColumnRenamed("odds_ratio", "or")
     return table.join(F.broadcast(bootstrap_interval(fits, n)), "feature").orderBy(F.desc("or"), "feature")
 
 
