@@ -6,10 +6,10 @@
 2. A signature is cut into 16 chunks of 6. By the pigeonhole principle a pair within the distance has a chunk with at most one
    differing position. All such errors are enumerated: each chunk gives 6 keys, one without each position, and every pair within
    the distance meets on a key.
-3. Sets that meet are compared in three rounds: each with the set it meets most, then with the best linked set of each key (the
-   hub), then those that are left between components, by how they differ from the hub of a key on which they meet. After the
-   first round, n-grams that occur in one component alone tell how much a set can share with any other; those that cannot reach
-   the similarity meet no more. So the many copies of one text that are just too far apart do not pair up. Pairs above the
+3. Sets that meet are compared in two rounds. First each with the set it meets most. Then, between components, with the best
+   linked set of each key (the hub), and with those that differ from that hub in enough of the same n-grams. Between the rounds,
+   n-grams that occur in one component alone tell how much a set can share with any other; those that cannot reach the
+   similarity meet no more. So the many copies of one text that are just too far apart do not pair up. Pairs above the
    distance go; the rest are confirmed on their full sets.
 """
 
@@ -272,20 +272,15 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         return written(jaccard.verified(within_distance(pairs, signed, index), texts, rule), name, f"{scratch}/{name}")
 
-    tried, support = confirmed(most_met(heads, index), "first"), None
-    for name in ("hubs", "edits"):
-        links = tried.filter("linked").select("a", "b").distinct()
-        near = components(links, f"{name}-components")
-        rows = open_rows(heads, near, links)
-        if support is None:
-            rows = written(rows, "open", f"{scratch}/open")
-            support = written(supports(rows, texts, index), "supports", f"{scratch}/supports")
-        rows = written(supported(rows, support, index), f"{name}-rows", f"{scratch}/{name}-rows")
-        pairs = hub_pairs(rows, index)
-        if name == "edits":
-            pairs = pairs.unionByName(edit_pairs(written(spokes(rows, texts, index), "spokes", f"{scratch}/spokes"), index)).distinct()
-        known = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tried = tried.unionByName(confirmed(pairs.join(known, ["a", "b"], "left_anti"), name))
+    first = confirmed(most_met(heads, index), "first")
+    links = first.filter("linked").select("a", "b").distinct()
+    rows = written(open_rows(heads, components(links, "first-components"), links), "open", f"{scratch}/open")
+    support = written(supports(rows, texts, index), "supports", f"{scratch}/supports")
+    rows = written(supported(rows, support, index), "supported", f"{scratch}/supported")
+    spoken = written(spokes(rows, texts, index), "spokes", f"{scratch}/spokes")
+    pairs = hub_pairs(rows, index).unionByName(edit_pairs(spoken, index)).distinct()
+    known = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    tried = first.unionByName(confirmed(pairs.join(known, ["a", "b"], "left_anti"), "second"))
 
     links = tried.filter("linked").select("a", "b").unionByName(_same_id(filled, sets)).distinct()
     of_sets = components(links, "set-components").withColumnRenamed("id", "set_id")
