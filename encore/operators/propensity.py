@@ -157,6 +157,10 @@ def design_matrix(
     """
     stats = number_stats(rows, numbers)
     scaled = ", ".join(f"(`{c}` - {m!r}D) / {s!r}D AS `{c}_z`" for c, (m, s) in stats.items())
+    if not categories:
+        inputs = [*flags, *[f"{c}_z" for c in numbers]]
+        plain = [SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"), VectorAssembler(inputCols=inputs, outputCol="features")]
+        return Design(Pipeline(stages=plain).fit(rows), (*flags, *numbers))
     present = [F.coalesce(c, F.lit(NO_LEVEL)).alias(c) for c in categories]
     indexer = StringIndexer(
         inputCols=list(categories),
@@ -223,6 +227,11 @@ def _matrix(design: Design, rows: DataFrame, *keys: str) -> DataFrame:
     return design.model.transform(rows).select(*keys, "features", F.col("label").cast("double").alias("label"))
 
 
+def fit_rows(design: Design, rows: DataFrame) -> DataFrame:
+    """(social_id, features, label) as the fits take them."""
+    return _matrix(design, rows, "social_id")
+
+
 def logistic_l2(train: DataFrame, c: float = 1.0, max_iter: int = 200, design: Design | None = None) -> Logistic:
     """L2 logistic regression with the penalty of inverse strength ``c`` on the summed loss."""
     design = design or design_matrix(train)
@@ -285,7 +294,7 @@ def bootstrap_ci(
     By default rows are drawn without replacement, the rows of ``bootstrap_samples``; ``replacement=True`` gives a true bootstrap.
     All fits share their scans, see :mod:`.bootstrap`.
     """
-    fits = bootstrap_fits(_matrix(point.design, train, "social_id"), point.design.names, n, size, replacement, first_seed, c)
+    fits = bootstrap_fits(fit_rows(point.design, train), point.design.names, n, size, replacement, first_seed, c)
     table = odds_ratios(train.sparkSession, point).withColumnRenamed("odds_ratio", "or")
     return table.join(F.broadcast(bootstrap_interval(fits, n)), "feature").orderBy(F.desc("or"), "feature")
 

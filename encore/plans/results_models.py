@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ..operators import actions, evaluation, lsh, mart, neighbours, propensity, quality, survival
+from ..operators.bootstrap import bootstrap_fits
 from ..oracle import models_sql as sql
 from ..session import written
 from .catalog import result
@@ -127,8 +128,8 @@ def _(s: Stages):
 @result("bootstrap_ci", "M7", f"SELECT feature, true AS ordered, true AS share FROM ({_TRAINED_NAMES})")
 def _(s: Stages):
     train = s.model_split[0]
-    found = propensity.bootstrap_ci(train, propensity.logistic_l2(train), n=20, size=400)
-    return found.select("feature", (F.col("or_low") <= F.col("or_high")).alias("ordered"), F.col("p_value").between(0.05, 1.0).alias("share"))
+    found = propensity.bootstrap_ci(train, propensity.logistic_l2(train), n=100, size=400)
+    return found.select("feature", (F.col("or_low") <= F.col("or_high")).alias("ordered"), F.col("p_value").between(0.01, 1.0).alias("share"))
 
 
 @result(
@@ -142,6 +143,65 @@ def _(s: Stages):
     return propensity.bootstrap_samples(s.model_split[0], n=20, size=400)
 
 
+def _descent(source: str, steps: int) -> str:
+    """Coefficients of the L2 fit on the scaled numbers for each draw ``m`` of ``source`` (m, y, x1, ...), by plain gradient steps."""
+    xs = range(1, len(sql.NUMBERS) + 1)
+    names = ", ".join(f"b{i}" for i in (0, *xs))
+    line = " + ".join(["b0", *[f"b{i} * x{i}" for i in xs]])
+    pulls = ", ".join(["sum(e) AS g0", *[f"sum(e * x{i}) AS g{i}" for i in xs]])
+    moved = ", ".join(["b0 - pace * g0", *[f"b{i} - pace * (g{i} + b{i})" for i in xs]])
+    zero = ", ".join(["0::DOUBLE" for _ in (0, *xs)])
+    features, betas = ", ".join(f"'{c}'" for c in sql.NUMBERS), ", ".join(f"b{i}" for i in xs)
+    return f"""
+    draws AS MATERIALIZED ({source}), paces AS (SELECT m, 1 / (count(*) * 0.75 + 1) AS pace FROM draws GROUP BY m),
+    descent(m, k, {names}) AS (
+        SELECT m, 0, {zero} FROM paces
+        UNION ALL
+        SELECT m, k + 1, {moved} FROM (
+            SELECT m, k, {names}, pace, {pulls} FROM (
+                SELECT d.*, k, {names}, pace, 1 / (1 + exp(-({line}))) - y AS e FROM descent JOIN draws d USING (m) JOIN paces USING (m))
+            GROUP BY m, k, {names}, pace) WHERE k < {steps}),
+    fitted AS (SELECT m, unnest([{features}]) AS feature, unnest([{betas}]) AS beta FROM descent WHERE k = {steps})"""
+
+
+_SCALED = ", ".join(f"({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1) AS x{i}" for i, c in enumerate(sql.NUMBERS, 1))
+_XS = ", ".join(f"x{i}" for i in range(1, len(sql.NUMBERS) + 1))
+_SCALED_ROWS = f"SELECT social_id, label::DOUBLE AS y, {_SCALED} FROM training"
+DRAWS, DRAWN = 100, 400
+_DRAWN_ROWS = f"""SELECT m, y, {_XS} FROM (
+        SELECT *, row_number() OVER (PARTITION BY m ORDER BY md5((1000 + m) || ':' || social_id), social_id) AS n
+        FROM scaled, (SELECT unnest(range(0, {DRAWS})) AS m)) WHERE n <= {DRAWN}"""
+
+
+@result(
+    "logistic_report",
+    "M6",
+    f"""SELECT * FROM (WITH RECURSIVE {_descent(f"SELECT 0 AS m, y, {_XS} FROM ({_SCALED_ROWS})", 1500)}
+    SELECT feature, round(beta, 4) + 0 AS coef, round(exp(beta), 4) + 0 AS odds_ratio FROM fitted)""",
+)
+def _(s: Stages):
+    """Coefficients and odds ratios of the fit on the scaled numbers."""
+    train = s.model_split[0]
+    fit = propensity.logistic_l2(train, design=propensity.design_matrix(train, (), ()))
+    return propensity.odds_ratios(s.store.spark, fit).select("feature", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("coef", "odds_ratio")])
+
+
+@result(
+    "bootstrap_report",
+    "M7",
+    f"""SELECT * FROM (WITH RECURSIVE scaled AS MATERIALIZED ({_SCALED_ROWS}), {_descent(_DRAWN_ROWS, 600)}
+    SELECT feature, round(exp(quantile_cont(beta, 0.025)), 4) + 0 AS or_low, round(exp(quantile_cont(beta, 0.975)), 4) + 0 AS or_high,
+        least(1, greatest(2 * least(avg((beta > 0)::INTEGER), avg((beta < 0)::INTEGER)), 1 / {DRAWS})) AS p_value FROM fitted GROUP BY feature)""",
+)
+def _(s: Stages):
+    """Intervals of the odds ratios over a hundred fits on draws, all in one solver."""
+    train = s.model_split[0]
+    design = propensity.design_matrix(train, (), ())
+    fits = bootstrap_fits(propensity.fit_rows(design, train), design.names, DRAWS, DRAWN)
+    ends = [(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("or_low", "or_high")]
+    return propensity.bootstrap_interval(fits, DRAWS).select("feature", *ends, "p_value")
+
+
 @result(
     "bootstrap_interval",
     "M7",
