@@ -51,17 +51,22 @@ TX_MAX_REAL = {
 }
 
 
-def tx_level(wide: DataFrame) -> DataFrame:
-    """One row per transaction; numbers given as text are parsed, and unreadable ones become null."""
+def tx_level(wide: DataFrame, owner: str | None = None) -> DataFrame:
+    """One row per transaction; numbers given as text are parsed, and unreadable ones become null.
+
+    ``owner`` names a column that is the same on all rows of a transaction. Grouping by it as well changes no row, and needs no
+    shuffle where the table is stored in its buckets.
+    """
     early = lambda value: first_by(value, *ROW_ORDER)
     stamp = lambda name: F.col(name).try_cast("timestamp_ntz")
     rows = wide.filter("transaction_code IS NOT NULL").withColumn(
         "reservation_datetime", stamp("reservation_datetime")
     )
-    return rows.groupBy("transaction_code").agg(
+    keys = ["transaction_code"] if owner is None else [owner, "transaction_code"]
+    found = rows.groupBy(*keys).agg(
         F.min(F.col("reservation_date").cast("date")).alias("reservation_date"),
         F.min("reservation_datetime").alias("reservation_datetime"),
-        *[early(c).alias(c) for c in TX_EARLIEST_TEXT if c != "nro_trip"],
+        *[early(c).alias(c) for c in TX_EARLIEST_TEXT if c not in ("nro_trip", owner)],
         early(whole("nro_trip")).alias("nro_trip"),
         set_size("product_type").alias("n_product_types"),
         *[early(whole(c)).alias(c) for c in TX_EARLIEST_WHOLE],
@@ -72,6 +77,11 @@ def tx_level(wide: DataFrame) -> DataFrame:
         F.min(stamp("first_click_datetime")).alias("first_click_datetime"),
         F.max(stamp("last_click_datetime")).alias("last_click_datetime"),
     )
+    if owner is None:
+        return found
+    texts = [c for c in TX_EARLIEST_TEXT if c != "nro_trip"]
+    rest = [c for c in found.columns if c not in (*texts, "transaction_code", "reservation_date", "reservation_datetime")]
+    return found.select("transaction_code", "reservation_date", "reservation_datetime", *texts, *rest)
 
 
 USER_ORDER = ("reservation_datetime", "transaction_code", "product_type")

@@ -48,26 +48,41 @@ def user_side(parts: Mapping[str, DataFrame]) -> DataFrame:
     return rows
 
 
-def transaction_side(detail: DataFrame, parts: Mapping[str, DataFrame]) -> DataFrame:
-    """All transaction tables as one row per transaction."""
+def transaction_side(detail: DataFrame, parts: Mapping[str, DataFrame], *owner: str) -> DataFrame:
+    """All transaction tables as one row per transaction (and owner, if one is named)."""
     people = parts["passengers"].filter("cantidad_pasajeros IS NOT NULL")
     passengers = _by_entry(people, "transaction_code", "product_type", F.col("cantidad_pasajeros"), "_passengers")
-    rows = detail.filter("transaction_code IS NOT NULL").select("transaction_code").distinct()
+    rows = detail.filter("transaction_code IS NOT NULL").select("transaction_code", *owner).distinct()
     for side in (*[parts[name] for name in TRANSACTION_PARTS], passengers):
         rows = rows.join(side, "transaction_code", "left")
     return rows
 
 
-def final_wide(detail: DataFrame, parts: Mapping[str, DataFrame]) -> DataFrame:
+def transactions_per_user(detail: DataFrame, parts: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per user with a map from each of the user's transactions, which are few, to its side tables."""
+    rows = transaction_side(detail, parts, "social_id")
+    sides = F.struct(*[c for c in rows.columns if c not in ("social_id", "transaction_code")])
+    return _by_entry(rows, "social_id", "transaction_code", sides, "_transactions")
+
+
+def final_wide(detail: DataFrame, parts: Mapping[str, DataFrame], by_user: bool = False) -> DataFrame:
     """Every detail row with its user, trip and transaction side tables.
 
     Side tables are put together first, one row per user and one per transaction, so no key can weigh more than
     another there. The detail rows then move twice, each time into a single join whose heavy keys Spark can split.
+
+    ``by_user`` is for tables stored in buckets of users, without heavy ones: transactions come as a map per user, and the detail rows
+    do not move at all.
     """
+    rows = detail.join(user_side(parts), "social_id", "left")
+    if by_user:
+        rows = rows.join(transactions_per_user(detail, parts), "social_id", "left")
+        rows = rows.withColumn("_side", F.try_element_at("_transactions", F.col("transaction_code")))
+        rows = rows.drop("_transactions").select("*", "_side.*").drop("_side")
+    else:
+        rows = rows.join(transaction_side(detail, parts), "transaction_code", "left")
     rows = (
-        detail.join(user_side(parts), "social_id", "left")
-        .join(transaction_side(detail, parts), "transaction_code", "left")
-        .withColumn("_trip", F.try_element_at("_trips", F.col("trip_id")))
+        rows.withColumn("_trip", F.try_element_at("_trips", F.col("trip_id")))
         .withColumns(
             {
                 "cantidad_pasajeros": F.try_element_at("_passengers", F.col("product_type")),

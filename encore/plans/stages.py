@@ -22,6 +22,7 @@ class TableStore:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        self.tables: list[str] = []
         self.root = f"{shared_dir(spark)}/encore-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
 
     def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -30,11 +31,33 @@ class TableStore:
         frame.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def keep_bucketed(self, name: str, build: Callable[[], DataFrame], key: str, buckets: int) -> DataFrame:
+        """The same as a table in buckets of its key, one sorted file each: joins and aggregates on the key need no exchange."""
+        table = f"encore_{self.root.rsplit('-', 1)[-1]}_{name}"
+        path = f"{self.root}/{name}"
+        rows = build().repartition(buckets, key)
+        rows.write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+        self.tables.append(table)
+        return self.spark.table(table)
+
     def remove(self) -> None:
         """Deletes everything this store has written; call it when the application is done with its tables."""
+        while self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop()}")
         remove_folder(self.spark, self.root)
 
 
+@dataclass(frozen=True)
+class Layout:
+    """How shared tables are stored: in ``buckets`` of their users or transactions (None: as many as shuffle partitions), as long as no
+    user has more than ``heaviest`` transactions and every transaction belongs to one user; otherwise as plain tables, whose joins
+    adaptive execution splits. ``bucketed=False`` always gives plain tables."""
+
+    bucketed: bool = True
+    buckets: int | None = None
+    heaviest: int = 1_000_000
+
+
 @dataclass(frozen=True)
 class Modelling:
     """Settings of the modelling tables: rare levels, cut-off month, a given score, and the boosted trees."""
@@ -51,9 +74,10 @@ class Stages:
     """Every shared result over one set of sources, built on first use."""
 
     def __init__(
-        self, sources, store: TableStore, *, pre_days: int = 90, post_days: int = 90, modelling: Modelling = Modelling()
+        self, sources, store: TableStore, *, pre_days: int = 90, post_days: int = 90, modelling: Modelling = Modelling(), layout: Layout = Layout()
     ):
         self.modelling = modelling
+        self.layout = layout
         self.src = sources
         self.store = store
         self.scope = trips.Scope(brand=sources.brand)
@@ -66,33 +90,53 @@ class Stages:
             "confirmed", lambda: trips.confirmed_transactions(self.src.transactions, self.scope)
         )
 
+    @cached_property
+    def bucketed(self) -> bool:
+        """Whether the tables of users and transactions are stored in buckets, see :class:`Layout`."""
+        if not self.layout.bucketed:
+            return False
+        rows = self.confirmed.groupBy("social_id").agg(F.count(F.lit(1)).alias("n"))
+        owners = self.confirmed.groupBy("transaction_code").agg(F.min("social_id").alias("low"), F.max("social_id").alias("high"))
+        heavy = rows.filter((F.col("n") > self.layout.heaviest) & F.col("social_id").isNotNull())
+        return heavy.isEmpty() and owners.filter("low <> high").isEmpty()
+
+    def keep_by(self, key: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if not self.bucketed:
+            return self.store.keep(name, build)
+        buckets = self.layout.buckets or int(self.store.spark.conf.get("spark.sql.shuffle.partitions"))
+        return self.store.keep_bucketed(name, build, key, buckets)
+
     @cached_property
     def users(self) -> DataFrame:
-        return self.store.keep(
+        return self.keep_by(
+            "social_id",
             "users",
             lambda: trips.first_second_trip(trips.trips_base(self.src.trips, self.confirmed, self.scope)),
         )
 
     @cached_property
     def detail(self) -> DataFrame:
-        return self.store.keep(
+        return self.keep_by(
+            "social_id",
             "detail", lambda: trips.trip_detail(self.users, self.src.trips, self.confirmed, self.scope)
         )
 
     @cached_property
     def targets(self) -> DataFrame:
-        return self.store.keep("targets", lambda: trips.target_transactions(self.detail))
+        return self.keep_by("transaction_code", "targets", lambda: trips.target_transactions(self.detail))
 
     @cached_property
     def payments(self) -> DataFrame:
-        return self.store.keep(
+        return self.keep_by(
+            "transaction_code",
             "payments",
             lambda: enrich.payment_methods(self.src.payments, self.src.payment_instruments, self.targets),
         )
 
     @cached_property
     def app(self) -> DataFrame:
-        return self.store.keep(
+        return self.keep_by(
+            "social_id",
             "app",
             lambda: enrich.app_behaviour(
                 self.src.visits, self.users, self.src.company, self.pre_days, self.post_days
@@ -101,7 +145,8 @@ class Stages:
 
     @cached_property
     def profile(self) -> DataFrame:
-        return self.store.keep(
+        return self.keep_by(
+            "social_id",
             "profile", lambda: enrich.user_profile(self.src.profiles, self.users, self.src.company)
         )
 
@@ -123,19 +168,19 @@ class Stages:
 
     @cached_property
     def economics_table(self) -> DataFrame:
-        return self.store.keep("economics", lambda: self.economics)
+        return self.keep_by("transaction_code", "economics", lambda: self.economics)
 
     @cached_property
     def coupons_table(self) -> DataFrame:
-        return self.store.keep("coupons", lambda: self.coupons)
+        return self.keep_by("transaction_code", "coupons", lambda: self.coupons)
 
     @cached_property
     def cabins_table(self) -> DataFrame:
-        return self.store.keep("cabins", lambda: self.cabins)
+        return self.keep_by("transaction_code", "cabins", lambda: self.cabins)
 
     @cached_property
     def passengers_table(self) -> DataFrame:
-        return self.store.keep("passengers", lambda: self.passengers)
+        return self.keep_by("transaction_code", "passengers", lambda: self.passengers)
 
     def build_sides(self) -> None:
         """Writes the side tables that do not depend on each other at the same time."""
@@ -169,7 +214,7 @@ class Stages:
 
     @cached_property
     def wide(self) -> DataFrame:
-        return self.store.keep("wide", lambda: wide.final_wide(self.detail, self.wide_parts()))
+        return self.keep_by("social_id", "wide", lambda: wide.final_wide(self.detail, self.wide_parts(), self.bucketed))
 
     @property
     def monthly_rows(self) -> DataFrame:
@@ -182,7 +227,7 @@ class Stages:
 
     @cached_property
     def tx_level(self) -> DataFrame:
-        return self.store.keep("tx_level", lambda: grain.tx_level(self.wide))
+        return self.store.keep("tx_level", lambda: grain.tx_level(self.wide, "social_id" if self.bucketed else None))
 
     @cached_property
     def user_level(self) -> DataFrame:
