@@ -175,17 +175,24 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
     cov = pdf.pivot(index="valor", columns="valor_j", values="covarianza").loc[values, values].to_numpy()
     own = pdf[pdf["valor"] == pdf["valor_j"]].set_index("valor").loc[values]
     z = (own["observado"] - own["esperado"]).to_numpy(dtype=float)[:-1]
-    chi2 = float(z @ np.linalg.solve(cov[:-1, :-1], z))
-    df = len(values) - 1
-    return pd.DataFrame(
-        {"grupo": [pdf["grupo"].iloc[0]], "grados": [df], "chi2": [chi2], "p_value": [chi_square_tail(chi2, df)]}
-    )
+    inner = cov[:-1, :-1]
+    df = int(np.linalg.matrix_rank(inner, hermitian=True))
+    if df == 0:
+        chi2 = p = None
+    else:
+        chi2 = float(z @ (np.linalg.solve(inner, z) if df == len(z) else np.linalg.pinv(inner, hermitian=True) @ z))
+        p = chi_square_tail(chi2, df)
+    return pd.DataFrame({"grupo": [pdf["grupo"].iloc[0]], "grados": [df], "chi2": [chi2], "p_value": [p]})
 
 
 def multivariate_logrank(
     durations: DataFrame, groups: Mapping[str, tuple[str, int]] = GROUPS, min_n: int = MIN_GROUP
 ) -> DataFrame:
-    """Chi-square and p-value of each comparison; only the k x k terms of a comparison reach its solve."""
+    """Chi-square and p-value of each comparison; only the k x k terms of a comparison reach its solve.
+
+    Groups that are never at risk beside another add nothing: the degrees of freedom are the rank of the covariance, and without
+    any both values are null.
+    """
     terms = logrank_terms(durations, groups, min_n)
     compared = terms.withColumn("_least", F.min("valor").over(Window.partitionBy("grupo"))).withColumn(
         "_most", F.max("valor").over(Window.partitionBy("grupo"))

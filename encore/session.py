@@ -28,10 +28,15 @@ def build_session(app: str = "encore", master: str | None = None, **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder for tables that cut lineage: ``spark.checkpoint.dir``, which every executor can read.
 
-    Where that is unset, a folder beside the tables of the warehouse, which executors share as well.
+    Where that is unset, a folder beside the tables of the warehouse. On a cluster that must not be a folder of one machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder.rstrip("/") if folder else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    if folder:
+        return folder.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{warehouse}/_shared"
 
 
 def remove_folder(spark: SparkSession, folder: str) -> None:

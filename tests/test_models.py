@@ -59,6 +59,16 @@ def test_chi_square_tail():
         assert survival.chi_square_tail(x, df) == pytest.approx(0.05, abs=1e-6)
 
 
+def test_groups_never_at_risk_together(spark):
+    """One group is over before the other begins to have events: nothing to compare. A third that is makes one degree of freedom."""
+    apart = spark.createDataFrame([("a", 2, 0), ("a", 3, 0), ("b", 5, 1), ("b", 6, 1)], "g string, T int, E int")
+    row = survival.multivariate_logrank(apart, {"x": ("g", 2)}, min_n=1).first()
+    assert row["grados"] == 0 and row["chi2"] is None and row["p_value"] is None
+    three = apart.unionByName(spark.createDataFrame([("c", 5, 0), ("c", 9, 1)], "g string, T int, E int"))
+    row = survival.multivariate_logrank(three, {"x": ("g", 3)}, min_n=1).first()
+    assert row["grados"] == 1 and row["p_value"] == pytest.approx(survival.chi_square_tail(row["chi2"], 1))
+
+
 def test_single_group_has_no_test(spark):
     rows = spark.createDataFrame([("a", 3, 1), ("a", 4, 0)], "g string, T int, E int")
     assert survival.multivariate_logrank(rows, {"x": ("g", 2)}, min_n=1).count() == 0
