@@ -152,11 +152,13 @@ def calibration(scored: DataFrame, bins: int = 10, score: str = "score", label:
 
 def grouped_auc(scored: DataFrame, by: Sequence[str], score: str = "score", label: str = "label") -> DataFrame:
     """ROC-AUC of several score sets at once, each of any size: counts per score, carried from bucket to bucket."""
-    counts = (
-        scored.groupBy(*by, F.col(score).alias("_score"))
-        .agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
-        .withColumn("_b", _bucket(F.col("_score")))
-    )
+    counts = scored.groupBy(*by, F.col(score).alias("_score")).agg(F.sum(label).alias("pos"), F.sum(1 - F.col(label)).alias("neg"))
+    return auc_of_counts(counts, by)
+
+
+def auc_of_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """ROC-AUC of several score sets from (by, _score, pos, neg), one row per distinct score."""
+    counts = counts.withColumn("_b", _bucket(F.col("_score")))
     under = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.groupBy(*by, "_b").agg(F.sum("neg").alias("_neg")).select(
         *by, "_b", F.coalesce(F.sum("_neg").over(under), F.lit(0)).alias("_before")

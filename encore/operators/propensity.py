@@ -6,6 +6,8 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler, VectorSlicer
@@ -18,7 +20,7 @@ from ..functions.ranking import HASH_DIGITS, exact_quantiles, global_row_number,
 from ..functions.text import first_item
 from ..session import written
 from .bootstrap import bootstrap_fits
-from .evaluation import grouped_auc
+from .evaluation import auc_of_counts, grouped_auc
 from .targets import leakage_guard
 
 # The model's features by kind.
@@ -299,30 +301,52 @@ def bootstrap_ci(
     return table.join(F.broadcast(bootstrap_interval(fits, n)), "feature").orderBy(F.desc("or"), "feature")
 
 
-def logistic_score(
-    coefficients: Mapping[str, float],
-    intercept: float,
-    scaling: Mapping[str, tuple[float, float]] | None = None,
-) -> Column:
-    """Probability from given coefficients as one column expression.
+def logistic_terms(coefficients: Mapping[str, float], scaling: Mapping[str, tuple[float, float]] | None = None) -> dict[str, Column]:
+    """What each column adds to the log-odds.
 
     A name is a numeric column or ``column=level``; ``scaling`` gives mean and deviation of scaled columns.
     """
     scaling = scaling or {}
-    total = F.lit(float(intercept))
+    terms: dict[str, Column] = {}
     for name, beta in coefficients.items():
-        if "=" in name:
-            column, level = name.split("=", 1)
-            total = total + F.when(F.col(column) == level, float(beta)).otherwise(0.0)
+        column, _, level = name.partition("=")
+        if level:
+            term = F.when(F.col(column) == level, float(beta)).otherwise(0.0)
         else:
             value = F.col(name).cast("double")
             if name in scaling:
                 mean, deviation = scaling[name]
                 value = (value - mean) / deviation
-            total = total + value * float(beta)
+            term = value * float(beta)
+        terms[column] = terms[column] + term if column in terms else term
+    return terms
+
+
+def logistic_score(
+    coefficients: Mapping[str, float],
+    intercept: float,
+    scaling: Mapping[str, tuple[float, float]] | None = None,
+) -> Column:
+    """Probability from given coefficients as one column expression, see :func:`logistic_terms`."""
+    total = F.lit(float(intercept))
+    for term in logistic_terms(coefficients, scaling).values():
+        total = total + term
     return 1 / (1 + F.exp(-total))
 
 
+@dataclass(frozen=True)
+class Additive:
+    """A scorer whose log-odds are a sum of one term per column; scores are rounded to ``places``."""
+
+    coefficients: Mapping[str, float]
+    intercept: float
+    scaling: Mapping[str, tuple[float, float]] | None = None
+    places: int = 4
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("score", F.bround(logistic_score(self.coefficients, self.intercept, self.scaling), self.places))
+
+
 # --- boosted trees ----------------------------------------------------------------------------------------------
 
 
@@ -397,14 +421,56 @@ def _places(rows: DataFrame, seed: int, turn: int, name: str) -> DataFrame:
     return global_row_number(hashed, ["_mark", "social_id"], F.substring("_mark", 1, HASH_DIGITS), name).drop("_mark")
 
 
+def _shuffled_counts(score: Additive, rows: DataFrame, features: Sequence[str], repeats: int, seed: int) -> DataFrame:
+    """(feature, _repeat, _score, pos, neg): rows by score when a feature's term comes from the donor of a repeat.
+
+    Only terms move, one array a row and repeat; what is shuffled after that is one row per distinct score and task.
+    """
+    terms = logistic_terms(score.coefficients, score.scaling)
+    moving = [c for c in features if c in terms]
+    fixed = sum((t for c, t in terms.items() if c not in moving), F.lit(float(score.intercept)))
+    own = F.array(*[terms[c].cast("double") for c in moving], fixed)
+    placed = _places(rows.select("social_id", F.col("label").cast("int").alias("label"), own.alias("own")), seed, 0, "_place")
+    lent = [_places(rows.select("social_id", own.alias("lent")), seed, r, "_place").select("_place", "lent", F.lit(r).alias("r")) for r in range(1, repeats + 1)]
+    donors = reduce(DataFrame.unionByName, lent).groupBy("_place").agg(F.array_sort(F.collect_list(F.struct("r", "lent")))["lent"].alias("lent"))
+    pairs = placed.join(donors, "_place").select("label", "own", F.flatten("lent").alias("lent"))
+    width, grid, places = len(moving) + 1, 10**score.places, score.places
+
+    def count(batches):
+        seen = np.zeros((len(features), repeats, 2, grid + 1), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            label = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            mine = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            theirs = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, repeats, width)
+            total = mine.sum(axis=1)
+            for i, name in enumerate(features):
+                for r in range(repeats):
+                    odds = total if name not in moving else total - mine[:, moving.index(name)] + theirs[:, r, moving.index(name)]
+                    code = np.rint(np.round(1 / (1 + np.exp(-odds)), places) * grid).astype(np.int64)
+                    seen[i, r] += np.bincount(label * (grid + 1) + code, minlength=2 * (grid + 1)).reshape(2, grid + 1)
+        i, r, code = np.nonzero(seen.sum(axis=2))
+        names = pa.array(list(features)).take(pa.array(i))
+        cells = [pa.array((r + 1).astype(np.int32)), pa.array(code), pa.array(seen[i, r, 1, code]), pa.array(seen[i, r, 0, code])]
+        yield pa.RecordBatch.from_arrays([names, *cells], ["feature", "_repeat", "code", "pos", "neg"])
+
+    counted = pairs.mapInArrow(count, "feature string, _repeat int, code long, pos long, neg long")
+    return counted.groupBy("feature", "_repeat", (F.col("code") / grid).alias("_score")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
 def permutation_importance(
     score: Scorer, test: DataFrame, features: Sequence[str] = FEATURES, repeats: int = 5, seed: int = 42
 ) -> DataFrame:
     """Mean fall in ROC-AUC when one column is shuffled over all test rows, floored at zero.
 
-    Each repeat pairs every row with another one by the order of their hashes.
+    Each repeat pairs every row with another one by the order of their hashes. For an :class:`Additive` scorer no row is copied:
+    a row carries the terms of its donors, and tasks count scores.
     """
     rows = test.select("social_id", "label", *features)
+    if isinstance(score, Additive):
+        reference = grouped_auc(score(rows).withColumn("feature", F.lit("none")), ["feature"]).select("roc_auc").scalar()
+        return _falls(auc_of_counts(_shuffled_counts(score, rows, features, repeats, seed), ["feature", "_repeat"]), reference)
     own = _places(rows, seed, 0, "_place")
     donors = [
         _places(rows.select("social_id", *[F.col(c).alias(f"{c}__d") for c in features]), seed, turn, "_place")
@@ -424,6 +490,10 @@ def permutation_importance(
     base = rows.withColumns({"feature": F.lit("none"), "_repeat": F.lit(0)})
     worse = grouped_auc(score(shuffled), ["feature", "_repeat"])
     reference = grouped_auc(score(base), ["feature"]).select("roc_auc").scalar()
+    return _falls(worse, reference)
+
+
+def _falls(worse: DataFrame, reference: Column) -> DataFrame:
     return (
         worse.groupBy("feature")
         .agg(F.avg("roc_auc").alias("shuffled"))

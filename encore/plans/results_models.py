@@ -279,8 +279,7 @@ def _(s: Stages):
     return evaluation.calibration(s.rounded_scores)
 
 
-def _given_score(rows):
-    return rows.withColumn("score", F.bround(propensity.logistic_score(sql.COEFFICIENTS, sql.INTERCEPT), 4))
+_given_score = propensity.Additive(sql.COEFFICIENTS, sql.INTERCEPT)
 
 
 @result("permutation_importance", "M14", sql.permutation_statement(repeats=5))
