@@ -33,7 +33,7 @@ class Tables:
     tables: int = 3
     functions: int = 5
     probes: int = 2
-    aim: float = 0.95
+    aim: float = 0.98
     width: float | None = None
     sample: int = 2000
     asked: int = 300
