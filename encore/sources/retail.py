@@ -7,12 +7,15 @@ between and after trips.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 BRAND = "House"
 EVENT_STRETCH = 80
+# Suppliers are sent to all executors up to this many rows of two numbers, and joined like any table beyond.
+BROADCAST_ROWS = 1_000_000
 
 # Fixed values that give the star schema's codes the names the operators expect.
 PLACES = (
@@ -61,51 +64,77 @@ class RetailSources:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._keep: Callable[[Callable[[], DataFrame]], DataFrame] | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     @cached_property
-    def _lines(self) -> DataFrame:
-        order_day = F.col("o_orderdate").cast("date")
+    def size(self) -> int:
+        """Order lines, which every table of transactions comes from."""
+        return self.table("lineitem").count()
+
+    def share(self, keep: Callable[[Callable[[], DataFrame]], DataFrame]) -> None:
+        """Has the joined order lines stored by ``keep`` on first use, so that nine tables do not join and move them again."""
+        self._keep = keep
+
+    @cached_property
+    def _described(self) -> DataFrame:
+        return self._describe() if self._keep is None else self._keep(self._describe)
+
+    def _describe(self) -> DataFrame:
+        """Order lines with all that the tables below need of their order, buyer, seller and part, in as few moves as joins take.
+
+        ``placed`` and ``typed`` mark lines whose buyer and seller, or part, are known: only those are rows of some tables.
+        """
+        nation = self.table("nation")
+        region = lambda key, name: F.broadcast(nation.select(F.col("n_nationkey").alias(key), F.col("n_regionkey").alias(name), F.lit(True).alias(f"{name}_known")))
+        sellers = self.table("supplier").select("s_suppkey", "s_nationkey").join(region("s_nationkey", "seller_region"), "s_nationkey")
+        if self.table("supplier").count() <= BROADCAST_ROWS:
+            sellers = F.broadcast(sellers)
+        buyers = self.table("customer").select("c_custkey", "c_nationkey", "c_mktsegment").join(region("c_nationkey", "buyer_region"), "c_nationkey")
+        orders = self.table("orders").drop("o_totalprice").join(buyers, F.col("o_custkey") == F.col("c_custkey"), "left")
+        parts = self.table("part").select("p_partkey", "p_type", "p_size")
+        of_order = Window.partitionBy("l_orderkey")
         return (
             self.table("lineitem")
-            .join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(sellers, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+            .join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
+            .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .withColumns(
                 {
                     "transaction_code": F.concat_ws("-", F.col("l_orderkey").cast("string"), "l_returnflag"),
-                    "social_id": F.col("o_custkey").cast("string"),
-                    "reservation_date": order_day,
-                    "reservation_datetime": F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.col("l_linenumber")),
-                    "reservation_year_month": F.date_format(order_day, "yyyy-MM"),
-                    "status": _named(STATUSES, F.col("o_orderstatus")),
-                    "price": F.col("l_extendedprice") * (1 - F.col("l_discount")),
+                    "trip_checkin": F.min("l_shipdate").over(of_order),
+                    "trip_checkout": F.max("l_shipdate").over(of_order),
+                    "domestic": F.col("buyer_region") == F.col("seller_region"),
+                    "placed": F.col("buyer_region_known").isNotNull() & F.col("seller_region_known").isNotNull(),
+                    "typed": F.col("p_partkey").isNotNull(),
                 }
             )
+            .drop("o_orderkey", "c_custkey", "s_suppkey", "p_partkey", "buyer_region", "buyer_region_known", "seller_region", "seller_region_known")
         )
 
     @cached_property
-    def _placed_lines(self) -> DataFrame:
-        buyer = self.table("nation").select(
-            F.col("n_nationkey").alias("c_nationkey"),
-            F.col("n_name").alias("buyer_nation"),
-            F.col("n_regionkey").alias("buyer_region"),
-        )
-        seller = self.table("nation").select(
-            F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("seller_region")
-        )
-        return (
-            self._lines.join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
-            .join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-            .join(buyer, "c_nationkey")
-            .join(seller, "s_nationkey")
+    def _lines(self) -> DataFrame:
+        order_day = F.col("o_orderdate").cast("date")
+        return self._described.withColumns(
+            {
+                "social_id": F.col("o_custkey").cast("string"),
+                "reservation_date": order_day,
+                "reservation_datetime": F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.col("l_linenumber")),
+                "reservation_year_month": F.date_format(order_day, "yyyy-MM"),
+                "status": _named(STATUSES, F.col("o_orderstatus")),
+                "price": F.col("l_extendedprice") * (1 - F.col("l_discount")),
+            }
         )
 
-    @cached_property
+    @property
+    def _placed_lines(self) -> DataFrame:
+        return self._lines.filter("placed")
+
+    @property
     def _typed_lines(self) -> DataFrame:
-        return self._lines.join(self.table("part"), F.col("l_partkey") == F.col("p_partkey")).withColumn(
-            "product_type", _named(PRODUCTS, F.col("p_type"))
-        )
+        return self._lines.filter("typed").withColumn("product_type", _named(PRODUCTS, F.col("p_type")))
 
     @cached_property
     def transactions(self) -> DataFrame:
@@ -117,7 +146,7 @@ class RetailSources:
             "reservation_year_month",
             F.when(F.col("l_linestatus") == "F", "APP").otherwise(F.col("o_orderpriority")).alias("platform"),
             F.when(F.col("l_quantity") <= 40, F.col("c_mktsegment")).alias("parent_channel"),
-            F.when(F.col("buyer_region") == F.col("seller_region"), "Nac").otherwise("Int").alias("trip_type"),
+            F.when(F.col("domestic"), "Nac").otherwise("Int").alias("trip_type"),
             F.lit(BRAND).alias("brand"),
             F.lit("B2C").alias("line_of_business"),
             F.col("status").alias("transaction_status"),
@@ -131,14 +160,8 @@ class RetailSources:
 
     @cached_property
     def trips(self) -> DataFrame:
-        spans = (
-            self.table("lineitem")
-            .groupBy(F.col("l_orderkey").alias("span_orderkey"))
-            .agg(F.min("l_shipdate").alias("trip_checkin"), F.max("l_shipdate").alias("trip_checkout"))
-        )
-        lines = self._placed_lines.join(self.table("part"), F.col("l_partkey") == F.col("p_partkey")).join(
-            spans, F.col("l_orderkey") == F.col("span_orderkey")
-        )
+        buyer = self.table("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("buyer_nation"))
+        lines = self._placed_lines.filter("typed").join(F.broadcast(buyer), "c_nationkey")
         product = _named(PRODUCTS, F.col("p_type"))
         return lines.select(
             "social_id",
