@@ -81,3 +81,23 @@ def test_copies_of_rows(spark):
     projections = lsh.fit(held, asked, 11, 5)
     assert lsh.cells(asked, projections, True).count() == 9 * asked.count()
     assert lsh.cells(held, projections, False).count() == 3 * held.count()
+
+
+def test_cells_in_blocks_keep_the_best_of_all_candidates(spark):
+    """Whole cells and cells cut into blocks: the k nearest of all pairs that meet, without a row for each pair."""
+    rng = np.random.default_rng(6)
+    _, refs = points(spark, rng, 600, "r", groups=4)
+    _, asks = points(spark, rng, 50, "t", groups=4)
+    projections = lsh.fit(refs, asks, 6, 2)
+    v = {name: {r["id"]: np.array(r["v"]) for r in df.collect()} for name, df in (("r", refs), ("t", asks))}
+    expected = {}
+    for r in lsh.candidates(asks, refs, projections).collect():
+        d = round(float(np.sqrt(N._squared(v["t"][r["id"]][None], v["r"][r["vecino"]][None], 6, 2)[0, 0])), N.PLACES)
+        expected.setdefault(r["id"], []).append((d, r["vecino"]))
+    for blocks in (N.Blocks(), N.Blocks(targets=7, references=20)):
+        got = {}
+        for r in lsh.ranked(asks, refs, projections, 5, blocks).collect():
+            got.setdefault(r["id"], []).append((r["distancia"], r["vecino"]))
+        assert {i: [x[1] for x in sorted(f)] for i, f in got.items()} == {i: [x[1] for x in sorted(f)[:5]] for i, f in expected.items()}
+    plan = lsh.ranked(asks, refs, projections, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan
