@@ -61,9 +61,11 @@ class RetailSources:
     # First cohort kept, and the first days with usable margin and media-path data, on the orders' calendar.
     cohort_dates = {"min_date": "1995-03-01", "margin_since": "1996-01-01", "media_since": "1997-01-01"}
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, status: str | None = None):
+        """With a ``status``, order lines are those of orders with that status only."""
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.status = status
         self._keep: Callable[[Callable[[], DataFrame]], DataFrame] | None = None
 
     def table(self, name: str) -> DataFrame:
@@ -78,6 +80,12 @@ class RetailSources:
         """Has the joined order lines stored by ``keep`` on first use, so that nine tables do not join and move them again."""
         self._keep = keep
 
+    def within(self, status: str, keep: Callable[[Callable[[], DataFrame]], DataFrame]) -> RetailSources:
+        """The same tables for orders of one status: all that operators need whose key lists have no other. Lines stored by ``keep``."""
+        some = RetailSources(self.spark, self.folder, status)
+        some.share(keep)
+        return some
+
     @cached_property
     def _described(self) -> DataFrame:
         return self._describe() if self._keep is None else self._keep(self._describe)
@@ -93,19 +101,22 @@ class RetailSources:
         if self.table("supplier").count() <= BROADCAST_ROWS:
             sellers = F.broadcast(sellers)
         buyers = self.table("customer").select("c_custkey", "c_nationkey", "c_mktsegment").join(region("c_nationkey", "buyer_region"), "c_nationkey")
-        orders = self.table("orders").drop("o_totalprice").join(buyers, F.col("o_custkey") == F.col("c_custkey"), "left")
+        orders = self.table("orders").drop("o_totalprice")
+        if self.status is not None:
+            orders = orders.filter(_named(STATUSES, F.col("o_orderstatus")) == self.status)
+        orders = orders.join(buyers, F.col("o_custkey") == F.col("c_custkey"), "left")
         parts = self.table("part").select("p_partkey", "p_type", "p_size")
         of_order = Window.partitionBy("l_orderkey")
+        # Orders come first: what they leave out moves no further.
         return (
             self.table("lineitem")
+            .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            .withColumns({"trip_checkin": F.min("l_shipdate").over(of_order), "trip_checkout": F.max("l_shipdate").over(of_order)})
             .join(sellers, F.col("l_suppkey") == F.col("s_suppkey"), "left")
             .join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
-            .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .withColumns(
                 {
                     "transaction_code": F.concat_ws("-", F.col("l_orderkey").cast("string"), "l_returnflag"),
-                    "trip_checkin": F.min("l_shipdate").over(of_order),
-                    "trip_checkout": F.max("l_shipdate").over(of_order),
                     "domestic": F.col("buyer_region") == F.col("seller_region"),
                     "placed": F.col("buyer_region_known").isNotNull() & F.col("seller_region_known").isNotNull(),
                     "typed": F.col("p_partkey").isNotNull(),

@@ -39,6 +39,17 @@ def test_users_meet_their_first_trip_without_exchange(shared, plain_joins):  # n
     assert exchanges(s.user_level.join(grain.trip1_agg(s.tx_level), "social_id", "left")) == 0
 
 
+def test_facts_are_the_lines_of_confirmed_orders(spark, shared):
+    whole, some = RetailSources(spark, FOLDER), shared.facts
+    kept = whole.transactions.filter("transaction_status = 'Confirmado'")
+    assert 0 < kept.count() < whole.transactions.count()
+    assert kept.exceptAll(some.transactions).count() == 0 == some.transactions.exceptAll(kept).count()
+    codes = whole._lines.filter("status = 'Confirmado'").select("transaction_code").distinct()
+    for name in ("segments", "discounts", "products", "contacts", "payments"):
+        rows = getattr(whole, name).join(codes, "transaction_code", "left_semi")
+        assert rows.exceptAll(getattr(some, name)).count() == 0 and rows.count() == getattr(some, name).count() > 0
+
+
 def test_buckets_grow_with_the_source(spark):
     s = Stages(RetailSources(spark, FOLDER), TableStore(spark), layout=Layout(rows=500))
     assert s.buckets == -(-s.src.size // 500) > 4
