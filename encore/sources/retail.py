@@ -53,6 +53,10 @@ def _named(values: dict[str, str], code: Column) -> Column:
     return chain
 
 
+def _transaction() -> Column:
+    return F.concat_ws("-", F.col("l_orderkey").cast("string"), "l_returnflag")
+
+
 class RetailSources:
     """Source tables for the operators, read from the Parquet files of one data folder."""
 
@@ -61,11 +65,13 @@ class RetailSources:
     # First cohort kept, and the first days with usable margin and media-path data, on the orders' calendar.
     cohort_dates = {"min_date": "1995-03-01", "margin_since": "1996-01-01", "media_since": "1997-01-01"}
 
-    def __init__(self, spark: SparkSession, folder: str, status: str | None = None):
-        """With a ``status``, order lines are those of orders with that status only."""
+    def __init__(self, spark: SparkSession, folder: str, status: str | None = None, dealt: int | None = None):
+        """With a ``status``, order lines are those of orders with that status only; with ``dealt``, they are stored in that many
+        parts by user."""
         self.spark = spark
         self.folder = folder.rstrip("/")
         self.status = status
+        self.dealt = dealt
         self._keep: Callable[[Callable[[], DataFrame]], DataFrame] | None = None
 
     def table(self, name: str) -> DataFrame:
@@ -80,12 +86,31 @@ class RetailSources:
         """Has the joined order lines stored by ``keep`` on first use, so that nine tables do not join and move them again."""
         self._keep = keep
 
-    def within(self, status: str, keep: Callable[[Callable[[], DataFrame]], DataFrame]) -> RetailSources:
-        """The same tables for orders of one status: all that operators need whose key lists have no other. Lines stored by ``keep``."""
-        some = RetailSources(self.spark, self.folder, status)
+    def within(
+        self, status: str, keep: Callable[[Callable[[], DataFrame]], DataFrame], dealt: int | None = None
+    ) -> RetailSources:
+        """The same tables for orders of one status: all that operators need whose key lists have no other. Lines stored by ``keep``,
+        dealt by user if a number of parts is given."""
+        some = RetailSources(self.spark, self.folder, status, dealt)
         some.share(keep)
         return some
 
+    def _orders(self, status: str | None) -> DataFrame:
+        orders = self.table("orders").drop("o_totalprice")
+        if status is None:
+            return orders
+        return orders.filter(_named(STATUSES, F.col("o_orderstatus")) == status).drop("o_orderstatus")
+
+    def by_user(self, status: str, heaviest: int) -> bool:
+        """Whether lines can be dealt by user: every order of the status has one buyer, and no buyer more than ``heaviest`` orders."""
+        orders = self._orders(status)
+        heavy = orders.groupBy("o_custkey").count().filter(F.col("count") > heaviest)
+        owners = orders.groupBy("o_orderkey").agg(
+            F.min("o_custkey").alias("low"), F.max("o_custkey").alias("high"),
+            F.count("o_custkey").alias("known"), F.count(F.lit(1)).alias("n"),
+        )
+        return heavy.isEmpty() and owners.filter("low <> high OR (known > 0 AND known < n)").isEmpty()
+
     @cached_property
     def _described(self) -> DataFrame:
         return self._describe() if self._keep is None else self._keep(self._describe)
@@ -98,43 +123,49 @@ class RetailSources:
         nation = self.table("nation")
         region = lambda key, name: F.broadcast(nation.select(F.col("n_nationkey").alias(key), F.col("n_regionkey").alias(name), F.lit(True).alias(f"{name}_known")))
         sellers = self.table("supplier").select("s_suppkey", "s_nationkey").join(region("s_nationkey", "seller_region"), "s_nationkey")
-        if self.table("supplier").count() <= BROADCAST_ROWS:
-            sellers = F.broadcast(sellers)
-        buyers = self.table("customer").select("c_custkey", "c_nationkey", "c_mktsegment").join(region("c_nationkey", "buyer_region"), "c_nationkey")
-        orders = self.table("orders").drop("o_totalprice")
-        if self.status is not None:
-            orders = orders.filter(_named(STATUSES, F.col("o_orderstatus")) == self.status)
-        orders = orders.join(buyers, F.col("o_custkey") == F.col("c_custkey"), "left")
+        few = self.table("supplier").count() <= BROADCAST_ROWS
+        buyers = self.table("customer").select(F.col("c_custkey").cast("string").alias("social_id"), "c_nationkey", "c_mktsegment")
+        buyers = buyers.join(region("c_nationkey", "buyer_region"), "c_nationkey")
         parts = self.table("part").select("p_partkey", "p_type", "p_size")
         of_order = Window.partitionBy("l_orderkey")
-        # Orders come first: what they leave out moves no further.
-        return (
+        sold = F.col("l_suppkey") == F.col("s_suppkey")
+        # Orders come first: what they leave out moves no further. What a user brings is joined last, where lines stay.
+        lines = (
             self.table("lineitem")
-            .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(self._orders(self.status), F.col("l_orderkey") == F.col("o_orderkey"))
             .withColumns({"trip_checkin": F.min("l_shipdate").over(of_order), "trip_checkout": F.max("l_shipdate").over(of_order)})
-            .join(sellers, F.col("l_suppkey") == F.col("s_suppkey"), "left")
             .join(parts, F.col("l_partkey") == F.col("p_partkey"), "left")
-            .withColumns(
-                {
-                    "transaction_code": F.concat_ws("-", F.col("l_orderkey").cast("string"), "l_returnflag"),
-                    "domestic": F.col("buyer_region") == F.col("seller_region"),
-                    "placed": F.col("buyer_region_known").isNotNull() & F.col("seller_region_known").isNotNull(),
-                    "typed": F.col("p_partkey").isNotNull(),
-                }
-            )
-            .drop("o_orderkey", "c_custkey", "s_suppkey", "p_partkey", "buyer_region", "buyer_region_known", "seller_region", "seller_region_known")
+            .withColumns({"typed": F.col("p_partkey").isNotNull(), "social_id": F.col("o_custkey").cast("string")})
+            .drop("o_orderkey", "p_partkey", "o_custkey")
         )
+        if not few:
+            lines = lines.join(sellers, sold, "left")
+        if self.dealt is not None:
+            lines = lines.repartition(self.dealt, "social_id")
+        lines = lines.join(buyers, "social_id", "left")
+        if few:
+            lines = lines.join(F.broadcast(sellers), sold, "left")
+        known = lines.withColumns(
+            {
+                "domestic": F.col("buyer_region") == F.col("seller_region"),
+                "placed": F.col("buyer_region_known").isNotNull() & F.col("seller_region_known").isNotNull(),
+            }
+        ).drop("s_suppkey", "buyer_region", "buyer_region_known", "seller_region", "seller_region_known")
+        # Lines stored by user get their transaction when they are read: it need not move.
+        return known if self.dealt is not None else known.withColumn("transaction_code", _transaction())
 
     @cached_property
     def _lines(self) -> DataFrame:
         order_day = F.col("o_orderdate").cast("date")
-        return self._described.withColumns(
+        lines = self._described
+        if self.dealt is not None:
+            lines = lines.withColumn("transaction_code", _transaction())
+        return lines.withColumns(
             {
-                "social_id": F.col("o_custkey").cast("string"),
                 "reservation_date": order_day,
                 "reservation_datetime": F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.col("l_linenumber")),
                 "reservation_year_month": F.date_format(order_day, "yyyy-MM"),
-                "status": _named(STATUSES, F.col("o_orderstatus")),
+                "status": _named(STATUSES, F.col("o_orderstatus")) if self.status is None else F.lit(self.status),
                 "price": F.col("l_extendedprice") * (1 - F.col("l_discount")),
             }
         )
@@ -217,6 +248,7 @@ class RetailSources:
         clicked = F.col("l_shipdate") + F.make_dt_interval(F.lit(0), F.col("l_linenumber"))
         return self._lines.select(
             F.col("transaction_code").alias("transaction_id"),
+            "social_id",
             "reservation_date",
             F.when(F.col("l_linestatus") == "F", _pick(CLOSED_EVENTS, line))
             .otherwise(_pick(OPEN_EVENTS, line))
@@ -234,6 +266,7 @@ class RetailSources:
         size = F.col("p_size")
         return self._typed_lines.select(
             "transaction_code",
+            "social_id",
             "reservation_year_month",
             F.when(size <= 25, "ECONOMY")
             .when(size <= 35, "PREMIUM_ECONOMY")
@@ -246,6 +279,7 @@ class RetailSources:
     def discounts(self) -> DataFrame:
         return self._lines.select(
             "transaction_code",
+            "social_id",
             "reservation_date",
             "reservation_year_month",
             F.when(F.col("l_discount") > 0.07, "SAVE").otherwise(" ").alias("coupon_code"),
@@ -260,6 +294,7 @@ class RetailSources:
         infants = F.when(known, F.when(F.col("l_quantity") >= 48, 1).otherwise(0))
         return self._typed_lines.select(
             "transaction_code",
+            "social_id",
             "product_type",
             "reservation_year_month",
             adults.alias("adults_quantity"),
@@ -272,6 +307,7 @@ class RetailSources:
     def redemptions(self) -> DataFrame:
         return self._lines.filter("l_tax >= 0.05").select(
             F.col("transaction_code").alias("redeemed_transaction_code"),
+            "social_id",
             F.when(F.col("l_quantity") > 5, F.col("l_quantity") * 10).alias("puntos_redimidos"),
             _pick(TIERS, F.col("l_linenumber") % 4).alias("tier"),
             F.when(F.col("l_tax") == 0.08, 1).otherwise(0).alias("flg_cancelado"),
@@ -282,6 +318,7 @@ class RetailSources:
     def contacts(self) -> DataFrame:
         return self._lines.filter("l_returnflag = 'R'").select(
             "transaction_code",
+            "social_id",
             F.col("l_suppkey").cast("string").alias("conversation_id"),
             _pick(MOODS, F.col("l_linenumber") % 4).alias("nps"),
             F.when(F.col("l_linestatus") == "F", "Si").otherwise("No").alias("resolution"),
