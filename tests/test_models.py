@@ -206,6 +206,18 @@ def test_boosted_trees_save_and_importance(spark, folder):
     assert [r["grid"] for r in dependence] == [0.0, 1.0] and dependence[1]["avg_pred"] > dependence[0]["avg_pred"]
 
 
+def test_trees_see_every_row(spark, monkeypatch):
+    """No sample of the rows, and thresholds from all of them: Spark reads ``maxBins`` squared rows for those."""
+    monkeypatch.setattr(propensity, "seeded_sample", None)
+    rows, _ = model_rows(spark, 1500)
+    model = propensity.boosted_trees(rows, max_depth=2, max_iter=2).model.stages[-1]
+    assert model.getOrDefault("maxBins") ** 2 >= rows.count() > 32**2
+    rows = spark.range(3000).selectExpr("cast(id as double) AS many", "if(id = 7, 1, 0) + if(id = 8, 5, 0) AS few", "cast(null as int) AS none")
+    edges = propensity.bin_edges(rows, ("many", "few", "none"))
+    assert edges["few"] == [1.0, 5.0] and edges["none"] == []
+    assert edges["many"] == pytest.approx([2999 * i / 32 for i in range(1, 32)])
+
+
 # --- actions and mart -------------------------------------------------------------------------------------------
 
 
