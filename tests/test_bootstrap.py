@@ -3,6 +3,8 @@ import pytest
 from pyspark.ml.linalg import Vectors
 
 from encore.operators import bootstrap, propensity
+from encore.plans import registry
+from encore.plans.catalog import CATALOG, stages_for
 
 
 def table(spark, n=600, seed=0):
@@ -71,3 +73,15 @@ def test_scans_do_not_grow_with_the_draws(spark):
 def test_empty_matrix(spark):
     _, _, matrix = table(spark)
     assert bootstrap.bootstrap_fits(matrix.limit(0), ("a", "b", "c"), 3, 10).count() == 9
+
+
+def test_the_registered_interval_draws_as_many_rows_as_there_are(spark, monkeypatch):
+    kept, keep = [], bootstrap.written
+    monkeypatch.setattr(bootstrap, "written", lambda df, name: kept.append(df) or keep(df, name))
+    stages = stages_for(spark, "/root/testdata/sf0.01")
+    assert "bootstrap_ci" in registry.queries()
+    found = CATALOG["bootstrap_ci"].build(stages).collect()
+    assert found and all(r["ordered"] and r["share"] for r in found)
+    counts = np.array([r["draws"] for r in kept[0].collect()])
+    assert counts.shape == (stages.model_split[0].count(), 100)
+    assert counts.mean() == pytest.approx(1.0, abs=0.05) and counts.var() == pytest.approx(1.0, abs=0.1)
