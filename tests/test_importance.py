@@ -34,3 +34,12 @@ def test_no_row_is_copied(spark):
     assert "Generate" not in plan and "Expand" not in plan
     assert counts.count() <= 5 * 2 * 60
     assert counts.groupBy("feature", "_repeat").agg(propensity.F.sum(propensity.F.col("pos") + propensity.F.col("neg")).alias("n")).filter("n <> 60").count() == 0
+
+
+@pytest.mark.parametrize("score", [SCORE, lambda t: SCORE(t)])
+def test_nothing_is_broadcast(spark, score):
+    """Rows, donors and starts of buckets grow with the table: the driver must not hold them, however small they look when shuffled."""
+    found = propensity.permutation_importance(score, rows(spark, 200), (*FEATURES, "other"), 2)
+    found.collect()
+    plan = plan_of(found)
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "BroadcastExchange" not in plan
