@@ -210,14 +210,37 @@ def test_trees_see_every_row(spark, monkeypatch):
     """No sample of the rows, and thresholds from all of them: Spark reads ``maxBins`` squared rows for those."""
     monkeypatch.setattr(propensity, "seeded_sample", None)
     rows, _ = model_rows(spark, 1500)
-    model = propensity.boosted_trees(rows, max_depth=2, max_iter=2).model.stages[-1]
+    model = propensity.boosted_trees(rows, max_depth=5, max_iter=2).model.stages[-1]
     assert model.getOrDefault("maxBins") ** 2 >= rows.count() > 32**2
+    trees = propensity.trees_of(spark, model)
+    numbers = trees.feature >= len(propensity.CATEGORIES)
+    assert numbers.any() and (trees.level[numbers] < 0).all() and (trees.level[(trees.feature >= 0) & ~numbers] >= 0).all()
     rows = spark.range(3000).selectExpr("cast(id as double) AS many", "if(id = 7, 1, 0) + if(id = 8, 5, 0) AS few", "cast(null as int) AS none")
     edges = propensity.bin_edges(rows, ("many", "few", "none"))
     assert edges["few"] == [1.0, 5.0] and edges["none"] == []
     assert edges["many"] == pytest.approx([2999 * i / 32 for i in range(1, 32)])
 
 
+def test_tree_importance_is_that_of_copied_rows(spark, monkeypatch):
+    """A row is scored with its donors' features in place, without a copy of the row; same figures as with copies."""
+    rows, _ = model_rows(spark, 700)
+    model = propensity.boosted_trees(rows, max_depth=4, max_iter=6).model
+    trees = propensity.trees_of(spark, model.stages[-1])
+    matrix = propensity.PipelineModel(stages=model.stages[:-1]).transform(propensity._filled(rows)).select("social_id", "features").collect()
+    x = np.array([r["features"].toArray() for r in matrix])
+    expected = {r["social_id"]: r["score"] for r in propensity.predict(model, rows).collect()}
+    assert trees.scores(trees.outputs(x, range(len(trees.weights)))) == pytest.approx([expected[r["social_id"]] for r in matrix], abs=1e-12)
+    monkeypatch.setattr(propensity, "COUNTED_ROWS", 50)
+    features = [*propensity.FEATURES][::-1]
+    fast = {r["feature"]: r["importance"] for r in propensity.permutation_importance(propensity.scorer(model), rows, features, 2).collect()}
+    slow = {r["feature"]: r["importance"] for r in propensity.permutation_importance(lambda t: propensity.predict(model, t), rows, features, 2).collect()}
+    assert fast == pytest.approx(slow, abs=1e-6) and max(fast.values()) > 0
+    monkeypatch.setattr(propensity, "RANKED_ROWS", 90)
+    ranges = {r["feature"]: r["importance"] for r in propensity.permutation_importance(propensity.scorer(model), rows, features, 2).collect()}
+    assert ranges == pytest.approx(fast, abs=1e-12)
+    assert {r["importance"] for r in propensity.permutation_importance(propensity.scorer(model), rows.limit(0), features, 2).collect()} == {0.0}
+
+
 # --- actions and mart -------------------------------------------------------------------------------------------
 
 
