@@ -141,3 +141,27 @@ def test_targets_are_sent_to_few_cells(spark):
     got = {r["id"]: sorted(x["d"] for x in r["all"]) for r in exact.groupBy("id").agg(F.collect_list(F.struct(F.col("distancia").alias("d"))).alias("all")).collect()}
     for (i, _), row in zip(targets, np.sort(d, axis=1)[:, :5], strict=True):
         assert got[i] == pytest.approx(list(np.round(row, 9)))
+
+
+def test_pairs_by_products_are_the_measured_ones(monkeypatch):
+    """Few pairs are measured one by one, and the nearest are those of measuring all; points repeat, tie and lack levels."""
+    rng = np.random.default_rng(5)
+
+    def points(n, levels, far=0.0):
+        z = rng.integers(-3, 4, (n, 4)) / 7 + rng.choice([0, 1e-10], (n, 4)) + far
+        codes = rng.choice(levels, (n, 2)).astype(float)
+        return np.hstack([z, codes, np.where(codes < 0, 0.0, 0.3 + codes)])
+
+    for far in (0.0, 1000.0):
+        r, q = points(900, [-1, 0, 1, 2], far), points(300, [-2, -1, 0, 1, 2], far)
+        q[:20] = r[:20]
+        d = np.round(np.sqrt(N._squared(q, r, 4, 2)), N.PLACES)
+        expected = [(i, int(j), d[i, j]) for i in range(len(q)) for j in np.lexsort((np.arange(len(r)), d[i]))[:5]]
+        ids = [f"{j:04}" for j in range(len(r))]
+        measured, plain = [], N._close_pairs
+        monkeypatch.setattr(N, "_close_pairs", lambda *a: (measured.append(len(x[0])) or x for x in plain(*a)))
+        frame = lambda m, names: pd.DataFrame({"id": names, "v": list(m)})
+        got = N._nearest(frame(q, list(range(len(q)))), frame(r, ids), 5, 4, 2)
+        assert [(int(a), int(b), c) for a, b, c in zip(got["id"], got["vecino"], got["distancia"], strict=True)] == expected
+        assert sum(measured) < len(q) * len(r) / 5
+        monkeypatch.undo()
